@@ -253,17 +253,15 @@ def pack_parents(
         F.col("article").isNotNull().alias("a"),
         "ch",
         "article",
-        # Maps cannot be ordered, so the sort key above decides before the child is reached.
-        F.struct(*CHILD_FIELDS[1:]).alias("child"),
+        # Maps cannot be ordered, entries can.
+        F.struct(*CHILD_FIELDS[1:-1], F.map_entries("extra").alias("extra")).alias("child"),
     )
     groups = c.groupBy("doc_id", "seg", "section_no", "run").agg(
-        F.collect_list(item).alias("items"),
+        F.array_sort(F.collect_list(item)).alias("items"),
         F.first("doc_title").alias("doc_title"),
         F.first("section_title").alias("section_title"),
         F.first("huge").alias("huge"),
     )
-    by_position = lambda x, y: (x["child_pos"] - y["child_pos"]).cast("int")
-    groups = groups.withColumn("items", F.array_sort("items", by_position))
     if long_docs:
         groups = cut_lineage(groups)
     packs = pack(groups, ["doc_id", "section_no", "run"], "seg", max_tokens, articles=True, spans=long_docs)
@@ -395,7 +393,7 @@ def _children(packed: DataFrame) -> DataFrame:
     rows = packed.select(
         "doc_id", "doc_title", "section_no", "parent_pos", F.explode("items").alias("item")
     ).select("doc_id", "doc_title", "section_no", "parent_pos", F.col("item.child_pos").alias("child_pos"), "item.child.*")
-    meta = overlay(F.col("extra"), F.create_map(F.lit("doc_title"), F.col("doc_title")))
+    meta = overlay(F.map_from_entries("extra"), F.create_map(F.lit("doc_title"), F.col("doc_title")))
     return rows.select(
         "doc_id",
         ids.chunk_id("doc_id", F.col("child_pos")).alias("chunk_id"),

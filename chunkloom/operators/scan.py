@@ -62,10 +62,11 @@ def running(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
         return df.withColumns({n: _finish(kind, _AGG[kind](v).over(w)) for n, (kind, v) in aggs.items()})
 
-    fine = [f"__r{i}" for i in range(len(ranges[0]))]
+    depth = len(ranges)
+    fine = [f"__r{depth}_{i}" for i in range(len(ranges[0]))]
     values = {f"__v_{n}": v for n, (_, v) in aggs.items()}
     base = df.withColumns(dict(zip(fine, ranges[0])) | values)
-    coarser = [[f"__c{level}_{i}" for i in range(len(cols))] for level, cols in enumerate(ranges[1:])]
+    coarser = [[f"__c{depth}_{level}_{i}" for i in range(len(cols))] for level, cols in enumerate(ranges[1:])]
     coarse_cols = {n: c for names, cols in zip(coarser, ranges[1:]) for n, c in zip(names, cols)}
     if coarse_cols:
         base = base.withColumns(coarse_cols)

@@ -11,6 +11,6 @@ def spark():
     from chunkloom.session import local_session
 
     session = local_session("8", "chunkloom-tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()

