@@ -94,6 +94,11 @@ def text_units(text: str, legal: bool = False, max_tokens: int = P.CHILD_BUDGET)
     return F.expr(f"transform({_sql_units(text, legal, max_tokens)}, u -> u.s)")
 
 
+def split_units(text: str, legal: bool = False) -> Column:
+    """Array of clause, line and sentence pieces of any length, in order."""
+    return F.expr(_sql_pieces(text, legal))
+
+
 def split_long_unit(unit: str, max_tokens: int = P.CHILD_BUDGET) -> Column:
     """Array of parts of one unit, cut after commas and semicolons and, where that is not enough, between words."""
     return F.expr(_sql_long_unit(unit, max_tokens))
@@ -131,14 +136,18 @@ def _sql_let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _sql_units(text: str, legal: bool, max_tokens: int) -> str:
+def _sql_pieces(text: str, legal: bool) -> str:
     breaks = (f"{P.CLAUSE_BREAK}|" if legal else "") + P.SENTENCE_BREAK
     hyphen = (
         f"if(contains({text}, '\\n') OR contains({text}, '\\r'), "
         f"regexp_replace({text}, {_raw(P.HYPHEN_BREAK)}, '$1'), {text})"
     )
     pieces = f"split({_sql_strip(hyphen)}, {_raw('(?U)' + breaks)})"
-    kept = f"filter(transform({pieces}, p -> {_sql_strip('p')}), p -> length(p) > 0)"
+    return f"filter(transform({pieces}, p -> {_sql_strip('p')}), p -> length(p) > 0)"
+
+
+def _sql_units(text: str, legal: bool, max_tokens: int) -> str:
+    kept = _sql_pieces(text, legal)
     weighed = f"transform({kept}, s -> named_struct('s', s, 'w', {_sql_tokens('s')}))"
     parts = f"transform({_sql_long_unit('u.s', max_tokens)}, s -> named_struct('s', s, 'w', {_sql_tokens('s')}))"
     fitted = (

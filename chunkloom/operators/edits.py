@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.meta import clean_key, custom_metadata, merge_metadata, no_metadata, overlay, page_start, sync_pages
 from ..functions.text import non_empty, split_midpoint, strip, token_estimate
 from .chunking import Chunked
-from .scan import number_rows, ranges_of
+from .scan import latest, latest_value, number_rows, position_ranges, ranges_of, running
 from .stats import empty_sections, is_empty_chunk, next_numbers
 from .tree import ancestors, rebuild
 
@@ -269,7 +269,7 @@ def split_chunks(chunked: Chunked, edits: DataFrame) -> Chunked:
     target = c.join(e, CHILD).withColumn("__half", split_midpoint("text"))
     fresh = next_numbers(c.join(e.select("doc_id").distinct(), "doc_id", "left_semi"), "chunk_id", "c")
     # Several chunks of one document can be split in one batch: number them in order.
-    target = number_rows(target, ["doc_id"], ["child_pos"], "__n", [[ranges_of("child_pos")[0]], [ranges_of("child_pos", 4096 * 4096)[0]]])
+    target = number_rows(target, ["doc_id"], ["child_pos"], "__n", position_ranges("child_pos"))
     target = target.join(fresh, "doc_id")
     part = F.explode(
         F.array(
@@ -394,7 +394,7 @@ def _placed(rows: DataFrame, new: DataFrame, id_column: str, position: str) -> D
 
 def _with_new_ids(new: DataFrame, existing: DataFrame, id_column: str, letter: str, make) -> DataFrame:
     """New rows with the next free ids of their documents, in ``seq`` order."""
-    new = number_rows(new, ["doc_id"], ["seq"], "__n", [[ranges_of("seq")[0]], [ranges_of("seq", 4096 * 4096)[0]]])
+    new = number_rows(new, ["doc_id"], ["seq"], "__n", position_ranges("seq"))
     fresh = next_numbers(existing, id_column, letter)
     new = new.join(fresh, "doc_id", "left")
     return new.withColumn(id_column, make("doc_id", F.coalesce("next_number", F.lit(1)) + F.col("__n") - 1))
@@ -542,10 +542,9 @@ def reparent_sections(chunked: Chunked, edits: DataFrame) -> Chunked:
 def indent_targets(sections: DataFrame) -> DataFrame:
     """(doc_id, section_id, new_parent_id): each section under its previous sibling, where it has one."""
     s = sections.where(_not_root()).select(*SECTION, "parent_section_id", "section_pos")
-    w = Window.partitionBy("doc_id", "parent_section_id").orderBy("section_pos")
-    return s.withColumn("new_parent_id", F.lag("section_id").over(w)).where(F.col("new_parent_id").isNotNull()).select(
-        *SECTION, "new_parent_id"
-    )
+    before = {"__p": latest(["section_pos"], F.col("section_id"))}
+    s = running(s, ["doc_id", "parent_section_id"], ["section_pos"], before, position_ranges("section_pos"), inclusive=False)
+    return s.select(*SECTION, latest_value("__p").alias("new_parent_id")).where(F.col("new_parent_id").isNotNull())
 
 
 def outdent_targets(sections: DataFrame) -> DataFrame:
