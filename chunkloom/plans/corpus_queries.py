@@ -208,12 +208,15 @@ def next_id(spark, sf):
 
 @query(
     "empty_sections",
-    """SELECT s.doc_id, s.section_id FROM sections s WHERE NOT EXISTS (FROM children c WHERE c.doc_id = s.doc_id AND c.section_id = s.section_id)
+    """SELECT s.doc_id, s.section_id FROM sections s
+       WHERE NOT EXISTS (FROM children c WHERE c.doc_id = s.doc_id AND c.section_id = s.section_id AND c.token_estimate >= 100)
+       AND NOT EXISTS (FROM parents c WHERE c.doc_id = s.doc_id AND c.section_id = s.section_id AND c.token_estimate >= 100)
        AND NOT EXISTS (FROM sections b WHERE b.doc_id = s.doc_id AND b.parent_section_id = s.section_id)""",
 )
 def empty_sections(spark, sf):
     c = line_chunks(spark, sf)
-    return stats.empty_sections(c.sections, c.parents, c.children).select("doc_id", "section_id")
+    large = F.col("token_estimate") >= 100
+    return stats.empty_sections(c.sections, c.parents.where(large), c.children.where(large)).select("doc_id", "section_id")
 
 
 @query(
@@ -518,14 +521,14 @@ def export_line_records(spark, sf):
 
 @query(
     "edited_overlay",
-    """SELECT doc_id, chunk_id, CASE WHEN doc_id IN (SELECT 'd' || doc_id FROM labels WHERE quality = 1) THEN upper(text) ELSE text END AS text
+    """SELECT doc_id, chunk_id, CASE WHEN doc_id IN (SELECT 'd' || doc_id FROM labels WHERE quality = 1) THEN reverse(text) ELSE text END AS text
        FROM children""",
 )
 def edited_overlay(spark, sf):
     c = line_chunks(spark, sf)
     good = table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"))
     picked = type(c)(*(t.join(good, "doc_id", "left_semi") for t in (c.sections, c.parents, c.children)))
-    edited = type(c)(picked.sections, picked.parents, picked.children.withColumn("text", F.upper("text")))
+    edited = type(c)(picked.sections, picked.parents, picked.children.withColumn("text", F.reverse("text")))
     return with_overlay(c, edited).children.select("doc_id", "chunk_id", "text")
 
 

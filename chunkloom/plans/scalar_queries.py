@@ -259,7 +259,7 @@ def strategy_guess(spark, sf):
     "table_search_text",
     r"""
     WITH r AS (
-      SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n,
+      SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n,
              l_linenumber || ' | ' || l_partkey || ' & ' || l_suppkey AS line FROM lineitem)
     SELECT o_orderkey, '[표: order ' || o_orderkey || ']' || chr(10) || '컬럼: line | part | mode'
         || coalesce(chr(10) || '주요 데이터:' || chr(10) || string_agg('- ' || split_part(line, ' & ', 1) || ' | ' || split_part(line, ' & ', 2), chr(10) ORDER BY n)
@@ -272,10 +272,10 @@ def table_search(spark, sf):
         F.lit("<tr><td>"), "l_linenumber", F.lit("</td><td> "), "l_partkey", F.lit("</td><td>"), "l_suppkey", F.lit("</td></tr>")
     )
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("tr")))).alias("rows")
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("tr")))).alias("rows")
     )
     o = table(spark, sf, "orders").join(lines, "o_orderkey", "left")
-    body = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<struct<l_linenumber:bigint,tr:string>>")), lambda r: r["tr"]), "")
+    body = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<struct<l_linenumber:bigint,l_partkey:bigint,l_suppkey:bigint,tr:string>>")), lambda r: r["tr"]), "")
     html = F.concat(F.lit("<table><tr><th>line</th><th>part</th><th>mode</th></tr>"), body, F.lit("</table>"))
     o = o.select("o_orderkey", "o_orderpriority", html.alias("html"))
     o = o.withColumn("cells", table_rows("html"))

@@ -49,7 +49,7 @@ def line_children(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("doc_id", F.concat(F.lit("Section "), section.cast("string"))).alias("breadcrumbs"),
         short.alias("is_table"),
         short.alias("is_atomic_table"),
-        F.contains("text", F.lit("?")).alias("is_edited"),
+        F.contains("text", F.lit("que")).alias("is_edited"),
         (F.length("text") < 30).alias("is_ignored"),
         F.create_map(
             F.lit("source"), F.col("source"), F.lit("page"), page.cast("string"), F.concat(F.lit("lang_"), "lang"), F.lit("yes")
@@ -125,7 +125,7 @@ children AS (
          {TOKENS.format('text')} AS token_estimate,
          (n // 5 + 1)::INT AS page_number, (n // 5 + 1 + n % 2)::INT AS page_end,
          'Section ' || (n // 32 + 1) AS section_title,
-         length(text) < 60 AS is_table, contains(text, '?') AS is_edited, length(text) < 30 AS is_ignored
+         length(text) < 60 AS is_table, contains(text, 'que') AS is_edited, length(text) < 30 AS is_ignored
   FROM l WHERE length(trim(text)) > 0),
 ptext AS (
   SELECT doc_id, parent_chunk_id, section_id, string_agg(text, chr(10) || chr(10) ORDER BY child_pos) AS text,
