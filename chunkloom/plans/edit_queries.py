@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-SMALL = F.col("token_estimate") < 20
+SMALL = "token_estimate < 20"
 
 
 @query(
@@ -99,7 +99,7 @@ def bulk_metadata_deleted(spark, sf):
 @query(
     "renamed_sections",
     """SELECT c.doc_id, c.chunk_id, array_to_string(list_transform(p.ranks, lambda r: CASE WHEN r = 0 THEN c.doc_id WHEN r <= 2 THEN 'Renamed ' || r
-              ELSE 'Section ' || r END), ' > ') FROM children c JOIN paths p USING (doc_id, section_id)""",
+              ELSE 'Section ' || r END), ' > ') AS breadcrumbs FROM children c JOIN paths p USING (doc_id, section_id)""",
 )
 def renamed_sections(spark, sf):
     c = _rebuilt(line_chunks(spark, sf))
@@ -231,10 +231,10 @@ def deleted_parents(spark, sf):
 @query(
     "added_children",
     """, mx AS (SELECT doc_id, max(child_pos) AS m FROM children GROUP BY 1), fp AS (SELECT doc_id, parent_chunk_id, max(child_pos) AS last FROM children GROUP BY ALL),
-       both AS (SELECT doc_id, chunk_id, text, child_pos AS a, 0 AS s, parent_chunk_id FROM children UNION ALL
+       merged AS (SELECT doc_id, chunk_id, text, child_pos AS a, 0 AS s, parent_chunk_id FROM children UNION ALL
          SELECT p.doc_id, printf('%s_c%04d', p.doc_id, m + row_number() OVER (PARTITION BY p.doc_id ORDER BY p.parent_pos)), 'Summary of ' || p.title, last, p.parent_pos, p.parent_chunk_id
          FROM parents p JOIN mx USING (doc_id) JOIN fp USING (doc_id, parent_chunk_id))
-       SELECT doc_id, chunk_id, parent_chunk_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY a, s) AS child_pos FROM both""",
+       SELECT doc_id, chunk_id, parent_chunk_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY a, s) AS child_pos FROM merged""",
 )
 def added_children(spark, sf):
     """A summary child at the end of every parent."""
@@ -250,10 +250,10 @@ def added_children(spark, sf):
 @query(
     "added_parents",
     """, mx AS (SELECT doc_id, max(parent_pos) AS m FROM parents GROUP BY 1),
-       both AS (SELECT doc_id, parent_chunk_id, title, section_id, parent_pos AS a FROM parents UNION ALL
+       merged AS (SELECT doc_id, parent_chunk_id, title, section_id, parent_pos AS a FROM parents UNION ALL
          SELECT s.doc_id, printf('%s_p%04d', s.doc_id, m + row_number() OVER (PARTITION BY s.doc_id ORDER BY s.section_pos)), 'Notes on ' || s.title, s.section_id, m + 1000 + s.section_pos
          FROM sections s JOIN mx USING (doc_id) WHERE s.section_pos > 0)
-       SELECT doc_id, parent_chunk_id, title, section_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS parent_pos FROM both""",
+       SELECT doc_id, parent_chunk_id, title, section_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS parent_pos FROM merged""",
 )
 def added_parents(spark, sf):
     """A notes parent for every section of the documents that have chunks."""
