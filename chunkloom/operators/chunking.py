@@ -333,6 +333,38 @@ def chunk_blocks(
     return Chunked(_sections(blocks, outlined, packed), _parents(packed), _children(packed))
 
 
+def chunk_stats(
+    blocks: DataFrame,
+    child_tokens: int = P.CHILD_BUDGET,
+    parent_tokens: int = P.PARENT_BUDGET,
+    long_docs: bool | None = None,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Counts and token sum per document straight from its blocks, without building the chunk tables.
+
+    The figures equal ``stats.document_stats`` of the chunked blocks.
+    """
+    if long_docs is None:
+        long_docs = has_long_docs(blocks, range_rows)
+    outlined = outline(blocks, long_docs, range_rows)
+    if long_docs:
+        outlined = cut_lineage(outlined)
+    children = pack_children(outlined, child_tokens, long_docs, range_rows)
+    table = F.filter("items", lambda x: x["child"]["is_table"])
+    packed = pack_parents(children, parent_tokens, long_docs, range_rows).groupBy("doc_id").agg(
+        F.count("*").alias("total_parent_chunks"),
+        F.sum(F.size("items")).alias("total_child_chunks"),
+        F.sum(F.size("items") - F.size(table)).alias("paragraph_chunks"),
+        F.sum(F.size(table)).alias("table_chunks"),
+        F.sum(F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["w"])).alias("total_tokens"),
+    )
+    # Every document has a root; headings add sections.
+    headings = classify(blocks).where(F.col("kind") == "section").select("doc_id")
+    roots = blocks.select("doc_id").distinct()
+    sections = roots.unionByName(headings).groupBy("doc_id").agg(F.count("*").alias("total_sections"))
+    return sections.join(packed, "doc_id", "left").na.fill(0)
+
+
 def _sections(blocks: DataFrame, outlined: DataFrame, packed: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     roots = blocks.groupBy("doc_id").agg(F.first("doc_title").alias("title")).select(

@@ -16,8 +16,6 @@ from ..functions.text import col, is_blank
 Tokenizer = Callable[[str], list[str]]
 Encoder = Callable[[list[str]], "np.ndarray"]
 
-EMPTY_SPARSE = "struct<indices:array<bigint>,values:array<double>>"
-
 
 def words(text: Column | str, stopwords: Iterable[str] = ()) -> Column:
     """Lower-case words of letters and digits, without stop words."""
@@ -42,43 +40,42 @@ def tokens_with(tokenizer: Tokenizer, text: Column | str) -> Column:
 def document_vector(tokens: Column | str) -> Column:
     """Sparse vector of a document: ``1 + ln(count)`` per token, 4 decimals, sorted by index.
 
-    Tokens are counted inside the row, so encoding needs no shuffle. Where two tokens share an index the
-    larger weight stays.
+    Tokens are sorted and counted inside the row, so encoding needs no shuffle. Where two tokens share an
+    index the larger weight stays.
     """
-    start = F.struct(
-        F.lit(None).cast("string").alias("t"),
-        F.lit(0).alias("n"),
-        F.array().cast("array<struct<t:string,n:int>>").alias("out"),
-    )
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.array_append(acc["out"], F.struct(acc["t"].alias("t"), acc["n"].alias("n")))).otherwise(
-            acc["out"]
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def weigh(s: Column) -> Column:
+        # Where each run of equal tokens starts; the distance to the next start is the count.
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i - 1) != s[i]))
+        return let(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda p, k: F.struct(
+                    token_hash(s[p]).alias("i"),
+                    F.round(F.lit(1.0) + F.ln(F.coalesce(F.get(at, k + 1), F.size(s)) - p), 4).alias("v"),
+                ),
+            ),
         )
 
-    def step(acc: Column, t: Column) -> Column:
-        same = acc["t"].eqNullSafe(t)
+    def pack(entries: Column) -> Column:
         return F.struct(
-            t.alias("t"),
-            F.when(same, acc["n"] + 1).otherwise(1).alias("n"),
-            F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"),
+            F.transform(entries, lambda e: e["i"]).alias("indices"), F.transform(entries, lambda e: e["v"]).alias("values")
         )
 
-    counts = F.aggregate(F.array_sort(col(tokens)), start, step, closed)
-    weighted = F.transform(
-        counts, lambda e: F.struct(token_hash(e["t"]).alias("i"), F.round(F.lit(1.0) + F.ln(e["n"]), 4).alias("v"))
-    )
-    # Sorted by index and weight: of equal indices the last carries the largest weight.
-    kept = F.transform(
-        F.array(F.array_sort(weighted)),
-        lambda es: F.filter(es, lambda e, i: ~e["i"].eqNullSafe(F.get(es, i + 1)["i"])),
-    )[0]
-    return F.transform(
-        F.array(kept),
-        lambda es: F.struct(
-            F.transform(es, lambda e: e["i"]).alias("indices"), F.transform(es, lambda e: e["v"]).alias("values")
-        ),
-    )[0]
+    def last_of_index(es: Column) -> Column:
+        # Sorted by index and weight: of equal indices the last carries the largest weight.
+        return F.filter(es, lambda e, i: ~e["i"].eqNullSafe(F.get(es, i + 1)["i"]))
+
+    def encoded(s: Column) -> Column:
+        none = F.array().cast("array<struct<i:bigint,v:double>>")
+        entries = F.when(F.size(s) > 0, F.array_sort(weigh(s))).otherwise(none)
+        return let(let(entries, last_of_index), pack)
+
+    return let(F.array_sort(col(tokens)), encoded)
 
 
 def query_vector(tokens: Column | str) -> Column:

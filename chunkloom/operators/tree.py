@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -30,16 +30,15 @@ def roots(sections: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("r.section_id").alias("root_id"), F.col("r.title").alias("root_title"))
 
 
-def ancestors(sections: DataFrame, carry: Column | None = None) -> DataFrame:
+def ancestors(sections: DataFrame) -> DataFrame:
     """Add ``path``: the ancestors of each section from nearest to farthest, below the root.
 
-    Each entry is ``struct(id, title, carry)``. ``reached`` tells whether the chain ends at the root; a
-    missing parent or a cycle ends it too. One join per level of depth; only unfinished rows go on.
+    Each entry is ``struct(id, title)``. ``reached`` tells whether the chain ends at the root; a missing
+    parent or a cycle ends it too. One join per level of depth; only unfinished rows go on.
     """
-    value = (carry if carry is not None else F.lit(0)).alias("carry")
-    base = sections.join(roots(sections), "doc_id").withColumn("carry", value)
+    base = sections.join(roots(sections), "doc_id")
     base = cut_lineage(base.withColumn("is_root", F.col("section_id") == F.col("root_id")))
-    entry = F.struct(F.col("section_id").alias("id"), "title", "carry")
+    entry = F.struct(F.col("section_id").alias("id"), "title")
     lookup = base.where(~F.col("is_root")).select(
         "doc_id", F.col("section_id").alias("at"), entry.alias("entry"), F.col("parent_section_id").alias("above")
     )
@@ -140,26 +139,30 @@ def roll_up_pages(sections: DataFrame, children: DataFrame) -> DataFrame:
 
 def reading_order(sections: DataFrame) -> DataFrame:
     """(doc_id, section_id, section_no): depth-first order, siblings by first page; sections cut off from the root last."""
-    return _reading_order(_ranked_ancestors(sections))
-
-
-def _ranked_ancestors(sections: DataFrame) -> DataFrame:
-    s = sections.join(roots(sections), "doc_id")
-    s = s.withColumns(
-        {
-            "__family": F.coalesce(non_empty("parent_section_id"), F.col("root_id")),
-            "__page": F.coalesce("page_start", F.lit(1)).cast("bigint"),
-        }
-    )
-    # Positions follow the sibling order: page first, then listed order.
-    ranked = number_rows(s, ["doc_id", "__family"], ["__page", "section_pos"], "__rank", page_ranges("__page", "section_pos"))
-    return ancestors(ranked.drop("root_id", "root_title", "__family", "__page"), F.col("__rank"))
+    return _reading_order(cut_lineage(ancestors(sections)))
 
 
 def _reading_order(closed: DataFrame) -> DataFrame:
-    steps = F.concat(F.transform(F.reverse("path"), lambda x: x["carry"]), F.array("carry"))
+    # Rank of each section among its siblings: page first, then listed order.
+    siblings = closed.select(
+        *KEY,
+        F.coalesce(non_empty("parent_section_id"), F.col("root_id")).alias("family"),
+        F.coalesce("page_start", F.lit(1)).cast("bigint").alias("page"),
+        "section_pos",
+    )
+    ranked = number_rows(siblings, ["doc_id", "family"], ["page", "section_pos"], "rank", page_ranges("page", "section_pos"))
+    ranked = ranked.select("doc_id", F.col("section_id").alias("step"), "rank")
+    # The ranks on the way from the root order the sections depth first.
+    way = F.concat(F.transform(F.reverse("path"), lambda x: x["id"]), F.array("section_id"))
     cut_off = F.when(F.col("is_root"), -1).when(F.col("reached") | non_empty("parent_section_id").isNull(), 0).otherwise(1)
-    keyed = closed.select(*KEY, cut_off.alias("off"), steps.alias("steps")).withColumns(
+    keyed = (
+        closed.select(*KEY, cut_off.alias("off"), F.posexplode(way).alias("i", "step"))
+        .join(ranked, ["doc_id", "step"])
+        .groupBy(*KEY, "off")
+        .agg(F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("s"))
+        .select(*KEY, "off", F.transform("s", lambda x: x["rank"]).alias("steps"))
+    )
+    keyed = keyed.withColumns(
         {"top": F.get("steps", F.lit(0)), "second": F.coalesce(F.get("steps", F.lit(1)), F.lit(0))}
     )
     ranges = [[F.col("off"), F.col("top"), ranges_of("second")[0]], [F.col("off"), ranges_of("top")[0]]]
@@ -203,9 +206,9 @@ def reindex(chunked: Chunked, names: DataFrame | None = None) -> Reindexed:
     id; the root title is used otherwise.
     """
     sections, parents, children = chunked.sections, chunked.parents, chunked.children
-    pages = _page_rollup(ancestors(sections), children)
-    sections = sections.drop("page_start", "page_end").join(pages, KEY)
-    closed = cut_lineage(_ranked_ancestors(sections))
+    closed = cut_lineage(ancestors(sections))
+    pages = _page_rollup(closed, children)
+    closed = cut_lineage(closed.drop("page_start", "page_end").join(pages, KEY))
 
     seed = roots(sections)
     if names is not None:

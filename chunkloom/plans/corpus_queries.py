@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import breadcrumb_string
 from ..operators import filters, stats, tree
-from ..operators.chunking import chunk_blocks, section_text
+from ..operators.chunking import chunk_blocks, chunk_stats, section_text
 from ..operators.export import export_records, repair_titles, with_overlay
 from ..operators.index import without_documents
 from ..operators.headings import drop_furniture
@@ -37,8 +37,7 @@ def chunked_pages(spark, sf):
 
 @query("general_chunk_stats")
 def general_chunk_stats(spark, sf):
-    c = chunked_documents(spark, sf)
-    return stats.document_stats(c.sections, c.parents, c.children)
+    return chunk_stats(blocks_from_text(table(spark, sf, "documents"), "doc_id", "text"))
 
 
 @query("general_children")

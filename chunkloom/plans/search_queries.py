@@ -15,7 +15,7 @@ from ..operators import index as ix
 from ..operators import search
 from ..operators.encode import document_vector, normalized, postings, query_vector, words
 from ..operators.refine import refine
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources.artifacts import mark_indexed
 from ..sources.blocks import blocks_from_text
 from ..streaming.ingest import ingest
@@ -56,10 +56,11 @@ DENSE = """
 def points(spark, sf):
     d = table(spark, sf, "documents")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense"))
-    rows = d.join(v, "doc_id", "left")
-    return rows.select(
+    rows = d.join(v, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("chunk_id"), "lang", "source", document_vector(words("text")).alias("sparse"), "dense"
     )
+    # An index is a stored table: encode once, search many times.
+    return cut_lineage(rows)
 
 
 def questions(spark, sf):

@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import strip, token_estimate
 from ..operators.chunking import Chunked
+from ..session import spread
+
+
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def line_children(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ def local_session(cores: str = "8", app: str = "chunkloom") -> SparkSession:
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # Recording a call site for every column expression makes building large plans slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,3 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A file scan with fewer splits than the cluster has cores, spread over the cores; larger scans stay as they are.
+
+    Texts cost far more to process than to move, so a small scan must not keep the work on a few cores.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
