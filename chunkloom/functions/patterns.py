@@ -27,7 +27,8 @@ CLAUSE_BREAK = (
     r"|(?<=[.:]\s)\s*(?=\d+\.\s|[가-하]\.\s)"
 )
 SOFT_BREAK = r"(?<=[;,])\s+"
-HYPHEN_BREAK = r"(?U)-(?<=\w-)\s*[\r\n]+\s*(\w+)"
+HYPHEN_AT_LINE_END = r"(?U)-\s*[\r\n]"
+HYPHEN_BREAK = r"(?U)(\w)-\s*[\r\n]+\s*(\w+)"
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # A line that keeps its own line in context text.

@@ -60,8 +60,7 @@ def token_estimate_trimmed(text: Column | str) -> Column:
 def join_hyphenated(text: Column | str) -> Column:
     """Rejoin words that a line end split at a hyphen."""
     t = col(text)
-    has_break = t.contains("\n") | t.contains("\r")
-    return F.when(has_break, F.regexp_replace(t, P.HYPHEN_BREAK, "$1")).otherwise(t)
+    return F.when(t.rlike(P.HYPHEN_AT_LINE_END), F.regexp_replace(t, P.HYPHEN_BREAK, "$1$2")).otherwise(t)
 
 
 def embedding_text(text: Column | str) -> Column:
@@ -139,8 +138,8 @@ def _sql_let(value: str, name: str, body: str) -> str:
 def _sql_pieces(text: str, legal: bool) -> str:
     breaks = (f"{P.CLAUSE_BREAK}|" if legal else "") + P.SENTENCE_BREAK
     hyphen = (
-        f"if(contains({text}, '\\n') OR contains({text}, '\\r'), "
-        f"regexp_replace({text}, {_raw(P.HYPHEN_BREAK)}, '$1'), {text})"
+        f"if({text} RLIKE {_raw(P.HYPHEN_AT_LINE_END)}, "
+        f"regexp_replace({text}, {_raw(P.HYPHEN_BREAK)}, '$1$2'), {text})"
     )
     pieces = f"split({_sql_strip(hyphen)}, {_raw('(?U)' + breaks)})"
     return f"filter(transform({pieces}, p -> {_sql_strip('p')}), p -> length(p) > 0)"

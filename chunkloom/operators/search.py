@@ -120,14 +120,17 @@ def dense_top(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     found = None
     for b in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else usable.collect()
-        matrix = np.array([list(r.dense) for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        if len(rows):
-            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        if not rows:
+            continue
+        matrix = np.array([list(r.dense) for r in rows], dtype=np.float64)
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
         part = vectors.mapInPandas(
             _best_in_partition([r.query_id for r in rows], matrix, limit),
             f"query_id {id_type}, chunk_id string, score double",
         )
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = index.sparkSession.createDataFrame([], f"query_id {id_type}, chunk_id string, score double")
     return top_per_query(found, limit)
 
 

@@ -40,7 +40,9 @@ def test_export_files_and_errors(spark, chunked, tmp_path):
 
 
 def test_edit_then_reindex(spark, chunked):
-    first = chunked.children.where("child_pos = 1 AND doc_id = 'a'").select("doc_id", "chunk_id")
+    first = chunked.children.where("child_pos = 1 AND doc_id = 'a'").select(
+        "doc_id", "chunk_id", F.substring_index("text", " ", 3).alias("text1"), F.expr("substr(text, length(substring_index(text, ' ', 3)) + 2)").alias("text2")
+    )
     split = edits.split_chunks(chunked, first)
     assert split.children.count() == chunked.children.count() + 1
     pair = split.children.where("child_pos <= 2 AND doc_id = 'a'").select("doc_id", F.lit("m").alias("merge_id"), "chunk_id")

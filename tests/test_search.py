@@ -81,22 +81,23 @@ def test_hybrid_first_hit_and_filter(spark):
     assert [h.chunk_id for h in only] == ["b"]
 
 
-def encode(texts):
-    return np.array([[len(t), t.count("a"), 1.0] for t in texts])
+def encoder():
+    # Functions made here travel to the tasks by value.
+    return lambda texts: np.array([[len(t), t.count("a"), 1.0] for t in texts])
 
 
 def test_dense_encoder(spark):
     df = spark.createDataFrame([("aab",), ("",)], "text string")
-    rows = df.select(dense_vectors(encode, "text", 1).alias("v"), query_dense(encode, "text", 3).alias("q")).collect()
+    rows = df.select(dense_vectors(encoder(), "text", 1).alias("v"), query_dense(encoder(), "text", 3).alias("q")).collect()
     assert np.allclose(rows[0].v, np.array([3, 2, 1]) / math.sqrt(14)) and np.allclose(rows[1].q, 0)
     assert np.isclose(np.linalg.norm(rows[1].v), 1)
 
 
 def test_search_texts(spark):
     points, _ = corpus(spark, 10)
-    points = points.withColumn("dense", dense_vectors(encode, "text"))
+    points = points.withColumn("dense", dense_vectors(encoder(), "text"))
     q = spark.createDataFrame([(1, "rare blue"), (2, "  ")], "query_id int, text string")
-    hits = search.search_texts(q, points, encode, 3, limit=4).collect()
+    hits = search.search_texts(q, points, encoder(), 3, limit=4).collect()
     assert {h.query_id for h in hits} == {1} and sorted(h.rank for h in hits) == [1, 2, 3, 4]
 
 
