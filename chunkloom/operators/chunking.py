@@ -46,6 +46,10 @@ class Chunked:
             getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
         return Chunked(*(spark.read.parquet(f"{path}/{n}") for n in ("sections", "parents", "children")))
 
+    def stored(self) -> "Chunked":
+        """The same tables cut from their lineage; call it between edits, so that plans do not pile up."""
+        return Chunked(*(cut_lineage(t) for t in (self.sections, self.parents, self.children)))
+
 
 def outline(blocks: DataFrame, long_docs: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Classified blocks with section number, run number, breadcrumbs, section parent and open marker."""

@@ -43,14 +43,14 @@ def test_edit_then_reindex(spark, chunked):
     first = chunked.children.where("child_pos = 1 AND doc_id = 'a'").select(
         "doc_id", "chunk_id", F.substring_index("text", " ", 3).alias("text1"), F.expr("substr(text, length(substring_index(text, ' ', 3)) + 2)").alias("text2")
     )
-    split = edits.split_chunks(chunked, first)
+    split = edits.split_chunks(chunked, first).stored()
     assert split.children.count() == chunked.children.count() + 1
     pair = split.children.where("child_pos <= 2 AND doc_id = 'a'").select("doc_id", F.lit("m").alias("merge_id"), "chunk_id")
-    merged = edits.merge_chunks(split, pair, " ")
+    merged = edits.merge_chunks(split, pair, " ").stored()
     assert merged.children.count() == chunked.children.count()
     text = lambda c: [r.text for r in c.where("doc_id = 'a'").orderBy("child_pos").collect()]
     assert text(merged.children) == text(chunked.children)
-    out = reindex(merged).chunked
+    out = reindex(merged).chunked.stored()
     assert text(out.children.withColumn("doc_id", F.when(F.col("metadata")["doc_title"] == "a", "a"))) == text(chunked.children)
     orphans = out.children.join(out.parents, ["doc_id", "parent_chunk_id"], "left_anti")
     assert orphans.isEmpty()
