@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secret_scan, url_filter
-from .common import table
+from . import decontaminate, exact_dedup, mixing, secret_scan, url_filter
+from .common import id_back, table
 
 
 def op2_mix_sources(spark, sf_dir):
@@ -20,6 +20,11 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_decontaminate(spark, sf_dir):
+    rows = decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(id_back().alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_secret_scan": op3_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op8_decontaminate": op8_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -86,6 +92,21 @@ FROM q"""
 ORACLES = {
     "op3_secret_scan": _secret_sql(),
     "op5_url_filter": _url_sql(),
+    "op8_decontaminate": """
+WITH l AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM l),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS s, w FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, n, w[s : s + n - 1] AS win FROM i),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, (SELECT DISTINCT n FROM wins)),
+m AS (SELECT doc_id, item_id, s, p.n FROM p JOIN wins ON p.n = wins.n AND p.w[s : s + p.n - 1] = win),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
     "op10_exact_dedup": f"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{WHITE}', '', 'g')) AS h
            FROM documents),
