@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, secret_scan, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, mixing, secret_scan, url_filter
 from .common import id_back, table
 
 
@@ -16,6 +16,10 @@ def op3_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -32,6 +36,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_secret_scan": op3_secret_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
@@ -91,6 +96,18 @@ FROM q"""
 
 ORACLES = {
     "op3_secret_scan": _secret_sql(),
+    "op4_jaccard_join": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.a GROUP BY d.doc_id, n.n""",
     "op5_url_filter": _url_sql(),
     "op8_decontaminate": """
 WITH l AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
