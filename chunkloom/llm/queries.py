@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language, mixing, quality, secret_scan, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from . import decontaminate, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, secret_scan, toxicity, url_filter
 from .common import id_back, table
 
 
+def op1_line_dedup(spark, sf_dir):
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -46,6 +53,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
@@ -110,6 +118,27 @@ FROM q"""
 
 
 ORACLES = {
+    "op1_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, l, generate_subscripts(l, 1) AS s, len(regexp_extract_all(unnest(l), '[^\\x20\\x09-\\x0D]+')) AS w FROM d),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY s) AS upto FROM p),
+e AS (SELECT a.doc_id, a.s, min(b.s) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.s >= a.s
+      AND b.upto - (a.upto - a.w) >= {line_dedup.MIN_WORDS} GROUP BY ALL),
+b AS (SELECT doc_id, s, array_to_string(l[s : e], chr(10)) AS block FROM e JOIN d USING (doc_id)),
+f AS (SELECT block, min((doc_id, s)) AS f FROM b GROUP BY block),
+r AS (SELECT b.doc_id, b.s, f[1] AS f_doc, f[2] AS f_s FROM b JOIN f USING (block) WHERE (b.doc_id, b.s) <> f),
+n AS (SELECT r.doc_id, s, list_position(list_transform(range(0, least(len(x.l) - s, len(y.l) - f_s) + 2),
+             lambda i: coalesce(x.l[s + i] <> y.l[f_s + i], true)), true) - 1 AS n
+      FROM r JOIN d x ON r.doc_id = x.doc_id JOIN d y ON r.f_doc = y.doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS t FROM n),
+i AS (SELECT doc_id, t, t - row_number() OVER (PARTITION BY doc_id ORDER BY t) AS k FROM g),
+o AS (SELECT doc_id, k, min(t) - 1 AS a, max(t) AS z FROM i GROUP BY doc_id, k),
+x AS (SELECT doc_id, sum(z - a) AS n_removed, string_agg(a || ':' || z, ',' ORDER BY a) AS removed FROM o GROUP BY doc_id),
+y AS (SELECT p.doc_id, string_agg(l[s], chr(10) ORDER BY s) AS kept FROM p
+      WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.t = p.s) GROUP BY p.doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN y ON d.doc_id = y.doc_id""",
     "op3_secret_scan": _secret_sql(),
     "op4_jaccard_join": """
 WITH RECURSIVE d AS (
