@@ -33,16 +33,18 @@ class Windows:
     def __init__(self, items: list[tuple[str, bytes | None]], size: int):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[str] = []
+        numbers: dict[str, int] = {}
         owners: dict[tuple[int, ...], list[int]] = {}
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if not ids:
                 continue
-            no = len(self.items)
-            self.items.append(item_id)
+            no = numbers.setdefault(item_id, len(self.items))
+            if no == len(self.items):
+                self.items.append(item_id)
             for s in range(max(1, len(ids) - size + 1)):
                 of = owners.setdefault(tuple(ids[s : s + size]), [])
-                if not of or of[-1] != no:
+                if no not in of:
                     of.append(no)
         lengths = sorted({len(w) for w in owners})
         self.groups = []
@@ -234,7 +236,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, size: int = 13
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A window is ``size`` words of an
     item in a row; a shorter item is one window; an item without words has none. A null text has no words. Items that
-    repeat a text are all found. Item ids that are null count as empty ids; items that share an id count each.
+    repeat a text are all found. Item ids that are null count as empty ids; items that share an id are one.
     """
     parts = [find_windows(docs, items, size) for items in benchmark_blocks(benchmark, block_words)]
     rows = parts[0]
@@ -245,8 +247,9 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, size: int = 13
         # Ranges found in different blocks meet again: their words are counted once.
         numbers = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["end"] - 1))))
         rows = every.groupBy("k_id", "k_text").agg(
-            F.first("n_words").alias("n_words"), F.array_sort(numbers).alias("numbers"), F.flatten(F.collect_list("items")).alias("items")
-        )
+            F.first("n_words").alias("n_words"), F.array_sort(numbers).alias("numbers"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+            (F.count("*") / len(parts)).cast("int").alias("times"),
+        ).withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
         opens = F.filter("numbers", lambda x: ~F.array_contains("numbers", x - 1))
         closes = F.filter("numbers", lambda x: ~F.array_contains("numbers", x + 1))
         rows = rows.select(

@@ -44,7 +44,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     return words.select(*keep, *[c.cast("double").alias(n) for n, c in statistics().items()])
 
 
-def grow_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 16, depth: int = 3, seed: int = 7) -> list[tuple[Condition, ...]]:
+def grow_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth: int = 3, seed: int = 7) -> list[tuple[Condition, ...]]:
     """The paths to all nodes of shallow trees, each grown on a random half of the rows and of the statistics."""
     rng = np.random.default_rng(seed)
     found: dict[tuple[Condition, ...], None] = {}
@@ -92,7 +92,7 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-total))
 
 
-def fit_rules(sample: DataFrame, l1: float = 2e-3, cut: float = CUT) -> RuleEnsemble:
+def fit_rules(sample: DataFrame, l1: float = 1e-3, cut: float = CUT) -> RuleEnsemble:
     """An ensemble from (text, label); the driver gets the statistics of the sample, never its texts.
 
     The intercept is set so that the best cut between the labels of the sample scores ``cut``.
