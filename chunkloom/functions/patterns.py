@@ -32,7 +32,7 @@ HYPHEN_BREAK = r"(?U)(\w)-\s*[\r\n]+\s*(\w+)"
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # A line that keeps its own line in context text.
-STRUCTURAL_LINE = r"(?:[①-⑳]|\d+\.|\(\d+\)|\[[^\]]+\]|제\s*\d+\s*조|[-*•※#])"
+STRUCTURAL_LINE = r"(?:[①-⑳]|\d+\.|\(\d+\)|\[[^\]\n]+\]|제[^\S\n]*\d+[^\S\n]*조|[-*•※#])"
 
 # Words in a title that mark a legal document.
 LEGAL_TITLE = r"규정|지침|기준|법률|조례|훈령|전문"

@@ -308,9 +308,12 @@ def pack_parents(
     return number_rows(rows, ["doc_id"], ["first_pos"], "parent_pos", ranges)
 
 
-def has_long_docs(blocks: DataFrame, range_rows: int = RANGE_ROWS) -> bool:
-    """Whether any document has more blocks than one range."""
-    return not blocks.where(F.col("block_no") >= range_rows).select("block_no").isEmpty()
+def by_length(blocks: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks of documents that fit one range, and blocks of longer ones (None if there are none)."""
+    long = cut_lineage(blocks.where(F.col("block_no") >= range_rows).select("doc_id").distinct())
+    if long.isEmpty():
+        return blocks, None
+    return blocks.join(long, "doc_id", "left_anti"), blocks.join(long, "doc_id", "left_semi")
 
 
 def chunk_blocks(
@@ -322,10 +325,18 @@ def chunk_blocks(
 ) -> Chunked:
     """Sections, parents and children of a corpus of blocks.
 
-    ``long_docs`` says whether any document may exceed ``range_rows`` blocks; by default it is looked up.
+    ``long_docs`` says whether all documents go through the range path, which a document of over ``range_rows``
+    blocks needs; by default exactly those documents do.
     """
     if long_docs is None:
-        long_docs = has_long_docs(blocks, range_rows)
+        short, long = by_length(blocks, range_rows)
+        done = chunk_blocks(short, child_tokens, parent_tokens, False, range_rows)
+        if long is None:
+            return done
+        more = chunk_blocks(long, child_tokens, parent_tokens, True, range_rows)
+        return Chunked(
+            done.sections.unionByName(more.sections), done.parents.unionByName(more.parents), done.children.unionByName(more.children)
+        )
     outlined = outline(blocks, long_docs, range_rows)
     if long_docs:
         outlined = cut_lineage(outlined)
@@ -349,7 +360,9 @@ def chunk_stats(
     The figures equal ``stats.document_stats`` of the chunked blocks.
     """
     if long_docs is None:
-        long_docs = has_long_docs(blocks, range_rows)
+        short, long = by_length(blocks, range_rows)
+        done = chunk_stats(short, child_tokens, parent_tokens, False, range_rows)
+        return done if long is None else done.unionByName(chunk_stats(long, child_tokens, parent_tokens, True, range_rows))
     outlined = outline(blocks, long_docs, range_rows)
     if long_docs:
         outlined = cut_lineage(outlined)

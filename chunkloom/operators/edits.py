@@ -19,7 +19,7 @@ from ..functions.text import non_empty, split_midpoint, strip, token_estimate
 from .chunking import Chunked
 from .scan import latest, latest_value, number_rows, position_ranges, ranges_of, running
 from .stats import empty_sections, is_empty_chunk, next_numbers
-from .tree import ancestors, rebuild
+from .tree import ancestors, follow_parents, rebuild, sync_order
 
 CHILD = ["doc_id", "chunk_id"]
 PARENT = ["doc_id", "parent_chunk_id"]
@@ -499,21 +499,24 @@ def add_parents(chunked: Chunked, new: DataFrame) -> Chunked:
 
 
 def reorder_sections(chunked: Chunked, edits: DataFrame) -> Chunked:
-    """Sections with new positions among their siblings (doc_id, section_id, ordinal); subtrees move along."""
+    """Sections with new positions among their siblings (doc_id, section_id, ordinal); subtrees, parents and children
+    move along."""
     reject_repeats(edits, SECTION)
     e = edits.select(*SECTION, F.col("ordinal").alias("__o"))
     s = chunked.sections.join(e, SECTION, "left")
     s = renumber(s, F.coalesce("__o", "section_pos"), F.when(F.col("__o").isNull(), 0).otherwise(F.col("section_pos") + 1), "section_pos")
-    return replace(chunked, sections=s.select(*chunked.sections.columns))
+    return sync_order(replace(chunked, sections=s.select(*chunked.sections.columns)))
 
 
 def reorder_parents(chunked: Chunked, edits: DataFrame) -> Chunked:
-    """Parents with new positions (doc_id, parent_chunk_id, ordinal): after the row that holds the ordinal now."""
+    """Parents with new positions (doc_id, parent_chunk_id, ordinal): after the row that holds the ordinal now; their
+    children move along."""
     reject_repeats(edits, PARENT)
     e = edits.select(*PARENT, F.col("ordinal").alias("__o"))
     p = chunked.parents.join(e, PARENT, "left")
     p = renumber(p, F.coalesce("__o", "parent_pos"), F.when(F.col("__o").isNull(), 0).otherwise(F.col("parent_pos") + 1), "parent_pos")
-    return replace(chunked, parents=p.select(*chunked.parents.columns))
+    parents = p.select(*chunked.parents.columns)
+    return replace(chunked, parents=parents, children=follow_parents(chunked.children, parents))
 
 
 def _not_root() -> Column:

@@ -141,13 +141,30 @@ def drop_dangling(references: DataFrame, rows: DataFrame, id_column: str) -> Dat
 
 
 def first_children(children: DataFrame, parents: DataFrame, limit: int = 50) -> DataFrame:
-    """The first ``limit`` children of each document in the order of the parents; the last group is cut."""
+    """The first ``limit`` children of each document in the order of the parents; the last group is cut.
+
+    Children whose parent is missing come after all others, in the order of their first child.
+    """
     pos = parents.select("doc_id", "parent_chunk_id", "parent_pos")
-    w = Window.partitionBy("doc_id").orderBy("parent_pos", "child_pos")
-    ranked = children.join(pos, ["doc_id", "parent_chunk_id"]).withColumn("n", F.row_number().over(w))
+    joined = children.join(pos, ["doc_id", "parent_chunk_id"], "left")
+    stale = joined.where(F.col("parent_pos").isNull()).groupBy("doc_id", "parent_chunk_id").agg(F.min("child_pos").alias("__first"))
+    ordered = joined.join(stale, ["doc_id", "parent_chunk_id"], "left")
+    w = Window.partitionBy("doc_id").orderBy(F.col("parent_pos").asc_nulls_last(), F.col("__first"), "child_pos")
+    ranked = ordered.withColumn("n", F.row_number().over(w)).drop("__first")
     return ranked.where(F.col("n") <= limit)
 
 
+def fallback_members(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Members of the groups ``parent_groups`` marks as fallback: one row per child with its number in the group.
+
+    Joined in this order by blank lines their texts are the text of the group; rows keep a group of any size apart.
+    """
+    c = children.withColumn("parent_chunk_id", F.coalesce(non_empty("parent_chunk_id"), F.lit("unassigned")))
+    lost = c.join(parents.select("doc_id", "parent_chunk_id"), ["doc_id", "parent_chunk_id"], "left_anti")
+    numbered = number_rows(lost, ["doc_id", "parent_chunk_id"], ["child_pos"], "ordinal", position_ranges("child_pos"))
+    return numbered.select("doc_id", "parent_chunk_id", "ordinal", "chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def metadata_sources(children: DataFrame) -> DataFrame:
     """For each chunk the chunks whose custom metadata it could take over: previous, first of its section
     other than itself, first of its document."""

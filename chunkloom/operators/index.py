@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import backfilled_doc_id, point_id
 from ..functions.meta import page_start, without_image_keys
 from ..functions.text import non_empty
+from ..session import cut_lineage
 from .encode import Encoder, dense_vectors, document_vector, words
 from .filters import active
 from .stats import manifest
@@ -87,19 +92,27 @@ def index_points(
     return rows.withColumn("indexed_at", F.current_timestamp())
 
 
-def last_writes(batch: DataFrame, key: str, version: Column) -> DataFrame:
+POINT = ("collection", "point_id")
+
+
+def last_writes(batch: DataFrame, key: str | Sequence[str], version: Column) -> DataFrame:
     """One row per key: the one with the highest version. Copies of a hot key are reduced before the shuffle."""
-    rest = [c for c in batch.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in batch.columns if c not in keys]
     # Equal versions are decided by content, so that a retried task gives the same row.
-    content = F.xxhash64(*[c for c, t in batch.dtypes if c != key and "map<" not in t])
+    content = F.xxhash64(*[c for c, t in batch.dtypes if c not in keys and "map<" not in t])
     best = F.max_by(F.struct(*rest), F.struct(version.alias("v"), content.alias("h")))
-    return batch.groupBy(key).agg(best.alias("__b")).select(key, "__b.*").select(*batch.columns)
+    return batch.groupBy(*keys).agg(best.alias("__b")).select(*keys, "__b.*").select(*batch.columns)
 
 
-def upsert(index: DataFrame, batch: DataFrame, key: str = "point_id", version: Column | None = None) -> DataFrame:
-    """The index after a batch of points: points of the batch replace those with the same id."""
-    new = last_writes(batch, key, version if version is not None else F.col("indexed_at"))
-    return index.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(index: DataFrame, batch: DataFrame, key: str | Sequence[str] = POINT, version: Column | None = None) -> DataFrame:
+    """The index after a batch of points: points of the batch replace those of the same collection and id.
+
+    Tables without a ``collection`` column are one collection.
+    """
+    keys = [key] if isinstance(key, str) else [c for c in key if c in batch.columns]
+    new = last_writes(batch, keys, version if version is not None else F.col("indexed_at"))
+    return index.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
 def _small(names: DataFrame) -> DataFrame:
@@ -107,8 +120,14 @@ def _small(names: DataFrame) -> DataFrame:
     return F.broadcast(names) if bounded else names
 
 
-def delete_documents(index: DataFrame, names: DataFrame) -> DataFrame:
-    """The index without points whose document id, title or any breadcrumb is one of the names (``name``)."""
+def delete_documents(index: DataFrame, names: DataFrame, collection: str | None = None) -> DataFrame:
+    """The index without points whose document id, title or any breadcrumb is one of the names (``name``).
+
+    With ``collection`` only points of that collection go.
+    """
+    if collection is not None:
+        inside = F.coalesce(F.col("collection") == collection, F.lit(False))
+        return index.where(~inside).unionByName(delete_documents(index.where(inside), names))
     n = _small(names.select("name").distinct())
     known = F.array_distinct(F.concat(F.array("doc_id", "doc_title"), F.coalesce("breadcrumbs", F.array().cast("array<string>"))))
     doomed = (
@@ -122,20 +141,66 @@ def without_documents(table: DataFrame, docs: DataFrame) -> DataFrame:
     return table.join(_small(docs.select("doc_id").distinct()), "doc_id", "left_anti")
 
 
-def create_collection(spark: SparkSession, path: str, recreate: bool = False) -> bool:
-    """Create the index at a path, or recreate it; returns whether it was created."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+def create_collection(spark: SparkSession, path: str, collection: str, recreate: bool = False) -> bool:
+    """Create a collection of the index at ``path``, or recreate it; returns whether it was created.
+
+    An index is one folder per collection; ``read_index`` reads all. Other collections are not touched.
+    """
+    try:
+        exists = not read_index(spark, path).where(F.col("collection") == collection).isEmpty() or _has_files(spark, path, collection)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        exists = False
     if exists and not recreate:
         return False
-    spark.createDataFrame([], INDEX).write.mode("overwrite").partitionBy("collection").parquet(path)
+    # A file without rows keeps the schema readable.
+    empty = spark.createDataFrame([], INDEX).drop("collection")
+    empty.coalesce(1).write.mode("overwrite").parquet(f"{path}/collection={collection}")
     return True
 
 
+def _has_files(spark: SparkSession, path: str, collection: str) -> bool:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/collection={collection}")
+    return not files.select("path").isEmpty()
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """All points below ``path``, with the collection read from the folder names."""
+    names = [f.name for f in spark.createDataFrame([], INDEX).schema]
+    return spark.read.schema(INDEX).parquet(path).select(*names)
+
+
 def wrong_dimension(index: DataFrame, dimension: int) -> DataFrame:
     return index.where(F.size("dense") != dimension)
 
 
+@dataclass(frozen=True)
+class IndexJob:
+    """What an index job leaves: the index after it, the points it wrote, the manifest and the report."""
+
+    index: DataFrame
+    points: DataFrame
+    manifest: DataFrame
+    report: DataFrame
+
+
+def index_job(
+    index: DataFrame,
+    children: DataFrame,
+    parents: DataFrame,
+    collection: str,
+    encode: Encoder | None = None,
+    tokens: Column | None = None,
+    vectors: DataFrame | None = None,
+) -> IndexJob:
+    """Encode the active children once, upsert them into their collection, and report from the stored points."""
+    points = cut_lineage(index_points(children, parents, collection, encode, tokens, vectors))
+    after = upsert(index, points)
+    mine = after.where(F.col("collection") == collection)
+    return IndexJob(after, points, manifest(mine), index_report(children, points))
+
+
 def index_report(children: DataFrame, points: DataFrame) -> DataFrame:
     """One row: chunks seen, points written and whether the job had anything to index."""
     total = children.agg(F.count("*")).scalar()

@@ -44,9 +44,11 @@ def _with_idf(df: DataFrame, index: DataFrame) -> DataFrame:
     return df.select("idx", "df", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def sparse_scores(queries: DataFrame, index: DataFrame, salts: int = SALTS) -> DataFrame:
+def sparse_scores(queries: DataFrame, index: DataFrame, salts: int = SALTS, corpus: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score): dot product of query and document weights times IDF.
 
+    IDF is taken over ``corpus``, the whole collection where ``index`` is a filtered part of it.
+
     ``queries`` has query_id and sparse. Up to ``BROADCAST_ROWS`` query terms are broadcast. More are
     joined by token with salt, so that a token found in much of the corpus is spread over many tasks.
     """
@@ -54,8 +56,9 @@ def sparse_scores(queries: DataFrame, index: DataFrame, salts: int = SALTS) -> D
     small = at_most(terms, BROADCAST_ROWS)
     wanted = terms.select("idx").distinct()
     pairs = postings(index, "chunk_id")
-    hit = pairs.join(F.broadcast(wanted) if small else wanted, "idx", "left_semi")
-    weights = _with_idf(hit.groupBy("idx").agg(F.count("*").alias("df")), index).select("idx", "idf")
+    whole = index if corpus is None else corpus
+    hit = postings(whole, "chunk_id").join(F.broadcast(wanted) if small else wanted, "idx", "left_semi")
+    weights = _with_idf(hit.groupBy("idx").agg(F.count("*").alias("df")), whole).select("idx", "idf")
     terms = terms.join(weights, "idx").select("query_id", "idx", (F.col("weight") * F.col("idf")).alias("weight"))
     if small:
         matched = pairs.join(F.broadcast(terms), "idx")
@@ -69,8 +72,8 @@ def sparse_scores(queries: DataFrame, index: DataFrame, salts: int = SALTS) -> D
     )
 
 
-def sparse_top(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
-    return top_per_query(sparse_scores(queries, index), limit)
+def sparse_top(queries: DataFrame, index: DataFrame, limit: int, corpus: DataFrame | None = None) -> DataFrame:
+    return top_per_query(sparse_scores(queries, index, corpus=corpus), limit)
 
 
 def _best_in_partition(ids: list, matrix: np.ndarray, limit: int):
@@ -143,15 +146,22 @@ def fuse(sparse: DataFrame, dense: DataFrame, limit: int, k: int = RRF_K) -> Dat
 
 
 def hybrid_search(
-    queries: DataFrame, index: DataFrame, limit: int = 10, where: Column | None = None, k: int = RRF_K
+    queries: DataFrame,
+    index: DataFrame,
+    limit: int = 10,
+    where: Column | None = None,
+    k: int = RRF_K,
+    collection: str | None = None,
 ) -> DataFrame:
     """Ranked hits with their index columns for a table of queries (query_id, sparse, dense).
 
-    ``where`` restricts the candidates of both retrievers before they are scored.
+    ``where`` restricts the candidates of both retrievers before they are scored; IDF stays that of the collection.
+    An index of several collections is searched in the named one.
     """
+    index = index.where(F.col("collection") == collection) if collection is not None else index
     pool = index.where(where) if where is not None else index
     n = pool_size(limit)
-    hits = fuse(sparse_top(queries, pool, n), dense_top(queries, pool, n), limit, k)
+    hits = fuse(sparse_top(queries, pool, n, index), dense_top(queries, pool, n), limit, k)
     return hits.join(pool.drop("sparse", "dense"), "chunk_id").withColumn("score", F.round("score", 6))
 
 
@@ -163,6 +173,7 @@ def search_texts(
     limit: int = 10,
     where: Column | None = None,
     tokens: Column | None = None,
+    collection: str | None = None,
 ) -> DataFrame:
     """Hits for query texts (query_id, text); blank queries have none."""
     q = queries.where(~is_blank("text"))
@@ -171,4 +182,4 @@ def search_texts(
         query_vector(tokens if tokens is not None else words("text")).alias("sparse"),
         query_dense(encode, "text", dimension).alias("dense"),
     )
-    return hybrid_search(q, index, limit, where)
+    return hybrid_search(q, index, limit, where, collection=collection)

@@ -191,6 +191,21 @@ def sync_positions(rows: DataFrame, listed: DataFrame, id_column: str, position:
     return out.select(*rows.columns)
 
 
+def sync_order(chunked: Chunked) -> Chunked:
+    """Parents in the order of their sections, children in the order of their parents; what has no owner comes last."""
+    s = chunked.sections.select(*KEY, F.col("section_pos").alias("owner_pos"))
+    listed = chunked.parents.select(*KEY, "parent_chunk_id", F.col("parent_pos").alias("list_pos")).join(s, KEY)
+    parents = sync_positions(chunked.parents, listed, "parent_chunk_id", "parent_pos")
+    return Chunked(chunked.sections, parents, follow_parents(chunked.children, parents))
+
+
+def follow_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children in the order of their parents, those of one parent as they stood; without a parent last."""
+    p = parents.select("doc_id", "parent_chunk_id", F.col("parent_pos").alias("owner_pos"))
+    listed = children.select("doc_id", "parent_chunk_id", "chunk_id", F.col("child_pos").alias("list_pos")).join(p, ["doc_id", "parent_chunk_id"])
+    return sync_positions(children, listed, "chunk_id", "child_pos")
+
+
 @dataclass(frozen=True)
 class Reindexed:
     chunked: Chunked
@@ -202,12 +217,19 @@ class Reindexed:
 def reindex(chunked: Chunked, names: DataFrame | None = None) -> Reindexed:
     """Dense new ids for all three tables in reading order, with every reference moved along.
 
+    Rows of one page keep the order the user gave their sections and parents (``sync_order``).
+
     ``names`` (doc_id, name) gives the file name or title that seeds the id of documents with an old-style
     id; the root title is used otherwise.
     """
-    sections, parents, children = chunked.sections, chunked.parents, chunked.children
+    parents, children = chunked.parents, chunked.children
+    sections = cut_lineage(chunked.sections)
+    # Ids, positions and pages, without texts: all orders are worked out on these.
+    slim_parents = cut_lineage(parents.select(*KEY, "parent_chunk_id", "parent_pos", "page_start"))
+    slim_children = cut_lineage(children.select(*KEY, "parent_chunk_id", "chunk_id", "child_pos", "page_number", "page_end"))
+    synced = sync_order(Chunked(sections, slim_parents, slim_children))
     closed = cut_lineage(ancestors(sections))
-    pages = _page_rollup(closed, children)
+    pages = _page_rollup(closed, slim_children)
     closed = cut_lineage(closed.drop("page_start", "page_end").join(pages, KEY))
 
     seed = roots(sections)
@@ -219,17 +241,21 @@ def reindex(chunked: Chunked, names: DataFrame | None = None) -> Reindexed:
     )
     docs = seed.select("doc_id", new_doc.alias("new_doc"))
 
-    smap = _reading_order(closed).join(docs, "doc_id").select(
-        *KEY, "section_no", ids.section_id("new_doc", F.col("section_no")).alias("new_section_id")
+    smap = cut_lineage(
+        _reading_order(closed).join(docs, "doc_id").select(
+            *KEY, "section_no", ids.section_id("new_doc", F.col("section_no")).alias("new_section_id")
+        )
     )
     page = page_start("page_start").cast("bigint")
     pmap = number_rows(
-        parents.select("doc_id", "parent_chunk_id", "parent_pos", page.alias("page")),
+        synced.parents.select("doc_id", "parent_chunk_id", "parent_pos", page.alias("page")),
         ["doc_id"], ["page", "parent_pos"], "n", page_ranges("page", "parent_pos"),
     ).join(docs, "doc_id")
-    pmap = pmap.select("doc_id", "parent_chunk_id", F.col("n").alias("new_pos"), ids.parent_id("new_doc", F.col("n")).alias("new_parent_id"))
+    pmap = cut_lineage(
+        pmap.select("doc_id", "parent_chunk_id", F.col("n").alias("new_pos"), ids.parent_id("new_doc", F.col("n")).alias("new_parent_id"))
+    )
     cmap = number_rows(
-        children.select("doc_id", "chunk_id", "child_pos", page_start("page_number").cast("bigint").alias("page")),
+        synced.children.select("doc_id", "chunk_id", "child_pos", page_start("page_number").cast("bigint").alias("page")),
         ["doc_id"], ["page", "child_pos"], "n", page_ranges("page", "child_pos"),
     ).join(docs, "doc_id")
     cmap = cmap.select("doc_id", "chunk_id", F.col("n").alias("new_pos"), ids.chunk_id("new_doc", F.col("n")).alias("new_chunk_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import breadcrumb_string
-from ..operators import filters, stats, tree
+from ..operators import edits, filters, stats, tree
 from ..operators.chunking import chunk_blocks, chunk_stats, section_text
 from ..operators.export import export_records, repair_titles, with_overlay
 from ..operators.index import without_documents
@@ -497,6 +497,54 @@ def reindexed_parents(spark, sf):
     return p.select("doc_id", "parent_chunk_id", "section_id", breadcrumb_string("breadcrumbs").alias("breadcrumbs"))
 
 
+@query(
+    "reindexed_after_reorder",
+    f""", {KEYS_SQL},
+    moved AS (SELECT doc_id, parent_chunk_id, page_start, section_id,
+                row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN token_estimate > 400 THEN 0 ELSE 1 END, parent_pos) AS pos FROM parents),
+    own AS (SELECT m.*, row_number() OVER (PARTITION BY m.doc_id ORDER BY s.section_pos, m.pos) AS synced
+            FROM moved m JOIN sections s ON s.doc_id = m.doc_id AND s.section_id = m.section_id),
+    pno AS (SELECT doc_id, parent_chunk_id, synced, row_number() OVER (PARTITION BY doc_id ORDER BY page_start, synced) AS no FROM own),
+    cno AS (SELECT c.doc_id, c.chunk_id, c.parent_chunk_id, c.text,
+                   row_number() OVER (PARTITION BY c.doc_id ORDER BY c.page_number, p.synced, c.child_pos) AS no
+            FROM children c JOIN pno p USING (doc_id, parent_chunk_id))
+    SELECT new_doc AS doc_id, printf('%s_c%04d', new_doc, c.no) AS chunk_id, printf('%s_p%04d', new_doc, p.no) AS parent_chunk_id, c.text
+    FROM cno c JOIN keys USING (doc_id) JOIN pno p USING (doc_id, parent_chunk_id)""",
+)
+def reindexed_after_reorder(spark, sf):
+    """Large parents are moved first; on a page their children get the lower ids."""
+    c = line_chunks(spark, sf)
+    large = c.parents.where(F.col("token_estimate") > 400).select("doc_id", "parent_chunk_id", F.lit(0).alias("ordinal"))
+    names = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),
+        F.concat(F.lit("file d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"),
+    )
+    out = tree.reindex(edits.reorder_parents(c, large), names).chunked.children
+    return out.select("doc_id", "chunk_id", "parent_chunk_id", "text")
+
+
+@query(
+    "fallback_members",
+    """SELECT doc_id, parent_chunk_id, row_number() OVER (PARTITION BY doc_id, parent_chunk_id ORDER BY child_pos) AS ordinal, chunk_id, c.text
+       FROM children c JOIN (SELECT doc_id, parent_chunk_id FROM parents WHERE token_estimate >= 400) USING (doc_id, parent_chunk_id)""",
+)
+def fallback_members(spark, sf):
+    c = line_chunks(spark, sf)
+    return filters.fallback_members(c.children, c.parents.where(F.col("token_estimate") < 400))
+
+
+@query(
+    "first_children_with_lost",
+    """SELECT doc_id, chunk_id, n FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id
+         ORDER BY CASE WHEN p.token_estimate < 400 THEN parent_pos END NULLS LAST, parent_pos, child_pos)::INT AS n
+       FROM children JOIN parents p USING (doc_id, parent_chunk_id)) WHERE n <= 10""",
+)
+def first_children_with_lost(spark, sf):
+    """Children whose parent is gone are listed after the others."""
+    c = line_chunks(spark, sf)
+    return filters.first_children(c.children, c.parents.where(F.col("token_estimate") < 400), 10).select("doc_id", "chunk_id", "n")
+
+
 # -- export -----------------------------------------------------------------------------------------
 
 

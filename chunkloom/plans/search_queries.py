@@ -18,7 +18,7 @@ from ..operators.refine import refine
 from ..session import checkpoint_dir, cut_lineage
 from ..sources.artifacts import mark_indexed
 from ..sources.blocks import blocks_from_text
-from ..streaming.ingest import ingest
+from ..streaming.ingest import ingest, live_points
 from .tables import line_chunks, table, with_lines
 
 QUERIES = {}
@@ -96,6 +96,8 @@ def dense_topk(spark, sf):
     return search.dense_top(questions(spark, sf), points(spark, sf), 20)
 
 
+# Candidates among the kept documents, IDF over all.
+KEPT_SCORES = SCORES.replace("JOIN post USING (idx) GROUP", "JOIN post USING (idx) WHERE doc_id IN (SELECT doc_id FROM kept) GROUP")
 FUSED = """
     both_ranks AS (SELECT item_id, doc_id, rank FROM sr WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM dr WHERE rank <= 20),
     fused AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM both_ranks GROUP BY ALL),
@@ -114,7 +116,7 @@ def rrf_hybrid(spark, sf):
 
 @query(
     "filtered_hybrid",
-    f"""WITH kept AS (SELECT * FROM documents WHERE lang = 'en'), {(SCORES + ',' + DENSE).replace('documents', 'kept')}, {FUSED}
+    f"""WITH kept AS (SELECT * FROM documents WHERE lang = 'en'), {KEPT_SCORES}, {DENSE.replace('documents', 'kept')}, {FUSED}
         SELECT item_id AS query_id, doc_id::VARCHAR AS chunk_id, round(score, 6) AS score, rank, lang, source
         FROM top JOIN kept USING (doc_id) WHERE rank <= 10""",
 )
@@ -188,7 +190,7 @@ def upsert_last_wins(spark, sf):
 def delete_by_doc(spark, sf):
     c = line_chunks(spark, sf)
     toxic = table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
-    names = toxic.union(toxic.limit(1).select(F.lit("Section 2")))
+    names = toxic.union(spark.range(1).select(F.lit("Section 2")))
     rows = c.children.withColumns({"point_id": F.col("chunk_id"), "doc_title": F.lit("")})
     return ix.delete_documents(rows, names).select("doc_id", "chunk_id")
 
@@ -216,6 +218,68 @@ def refined_texts(spark, sf):
     return out.select("doc_id", "chunk_id", "refined_text", "original_chars")
 
 
+def _two_collections(spark, sf):
+    """Chunks of all documents in collection a; those over 100 characters also in b, upserted afterwards."""
+    c = line_chunks(spark, sf)
+    a = ix.index_points(c.children, c.parents, "a")
+    b = ix.index_points(c.children.where(F.length("text") > 100), c.parents, "b")
+    return ix.upsert(a, b)
+
+
+@query(
+    "upsert_two_collections",
+    """SELECT 'a' AS collection, doc_id, chunk_id FROM children WHERE NOT is_ignored
+       UNION ALL SELECT 'b', doc_id, chunk_id FROM children WHERE NOT is_ignored AND length(text) > 100""",
+    lines=True,
+)
+def upsert_two_collections(spark, sf):
+    return _two_collections(spark, sf).select("collection", "doc_id", "chunk_id")
+
+
+@query(
+    "delete_in_collection",
+    """SELECT 'a' AS collection, doc_id, chunk_id FROM children WHERE NOT is_ignored AND doc_id NOT IN (SELECT 'd' || doc_id FROM documents WHERE lang = 'fr')
+       UNION ALL SELECT 'b', doc_id, chunk_id FROM children WHERE NOT is_ignored AND length(text) > 100""",
+    lines=True,
+)
+def delete_in_collection(spark, sf):
+    """French documents leave collection a only."""
+    names = table(spark, sf, "documents").where("lang = 'fr'").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
+    return ix.delete_documents(_two_collections(spark, sf), names, "a").select("collection", "doc_id", "chunk_id")
+
+
+@query(
+    "created_collection",
+    "SELECT 'kept' AS collection, count(*) AS points FROM children WHERE NOT is_ignored",
+    lines=True,
+)
+def created_collection(spark, sf):
+    """Points written to one collection stay when another one is created beside it and read back empty."""
+    base = f"{checkpoint_dir(spark)}/collections-{uuid.uuid4().hex}"
+    c = line_chunks(spark, sf)
+    ix.create_collection(spark, base, "kept")
+    ix.index_points(c.children, c.parents, "kept").write.mode("append").partitionBy("collection").parquet(base)
+    ix.create_collection(spark, base, "empty")
+    ix.create_collection(spark, base, "empty", recreate=True)
+    return ix.read_index(spark, base).groupBy("collection").agg(F.count("*").alias("points"))
+
+
+@query(
+    "index_job",
+    """SELECT doc_id, 'main' AS collection, count(*) AS chunks_count, (SELECT count(*) FROM children) AS total_chunks,
+              (SELECT count(*) FROM children WHERE NOT is_ignored) AS upserted_count, 3::INT AS dense_dim
+       FROM children WHERE NOT is_ignored GROUP BY doc_id""",
+    lines=True,
+)
+def index_job(spark, sf):
+    """Manifest of one index job with a deterministic encoder, and its report on every row."""
+    c = line_chunks(spark, sf)
+    index = spark.createDataFrame([], ix.INDEX)
+    job = ix.index_job(index, c.children, c.parents, "main", encode=lambda texts: [[float(len(t)), float(t.count("a")), 1.0] for t in texts])
+    report = job.report.select("total_chunks", "upserted_count", "dense_dim")
+    return job.manifest.drop("indexed_at").join(F.broadcast(report))  # the report is one row
+
+
 @query("stream_ingest")
 def stream_ingest(spark, sf):
     """All documents through the streaming ingest into a fresh index; chunks and tokens per document."""
@@ -225,7 +289,7 @@ def stream_ingest(spark, sf):
         docs, lambda batch: blocks_from_text(batch, "doc_id", "text"), f"{base}/index", f"{base}/state", "main", buckets=8
     )
     job.awaitTermination()
-    points_table = spark.read.parquet(f"{base}/index")
+    points_table = live_points(spark, f"{base}/index")
     return points_table.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 

@@ -52,6 +52,12 @@ def describe_artifacts(artifacts: DataFrame) -> DataFrame:
     )
 
 
+def plain_path(path: Column | str) -> Column:
+    """A file path without URI escapes and with one slash after the scheme."""
+    unescaped = F.url_decode(F.replace(col(path), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(unescaped, "^([A-Za-z][A-Za-z0-9]*):/+(?=[^/])", "$1:/")
+
+
 def best_match(names: DataFrame, targets: DataFrame, rank: Column) -> DataFrame:
     """For each ``name`` the best target by ``rank``: equal names, or one a prefix of the other.
 
@@ -80,18 +86,24 @@ def best_match(names: DataFrame, targets: DataFrame, rank: Column) -> DataFrame:
 
 
 def latest_artifacts(docs: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The artifact that counts for each document (``name``, its file stem): nested before flat, then newest."""
+    """The artifact that counts for each document (``name``, its file stem): nested before flat, then newest.
+
+    Names and path parts meet in Unicode NFC form, whatever form either is stored in.
+    """
     a = describe_artifacts(artifacts)
     known = F.array_distinct(F.concat(F.filter(F.split("path", "/"), lambda p: F.length(p) > 0), F.array("stem")))
-    targets = a.select(F.explode(known).alias("key"), "version", "mtime", "path")
-    found = best_match(docs, targets, F.struct("version", "mtime", "path"))
-    return docs.join(found.select("name", "best.*"), "name", "left")
+    targets = a.select(F.explode(known).alias("key"), "version", "mtime", "path").withColumn("key", nfc("key"))
+    named = docs.withColumn("__nfc", nfc("name"))
+    found = best_match(named.select(F.col("__nfc").alias("name")), targets, F.struct("version", "mtime", "path"))
+    return named.join(found.select(F.col("name").alias("__nfc"), "best.*"), "__nfc", "left").drop("__nfc")
 
 
 def mark_indexed(docs: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Documents with ``is_embedded``: an indexed ``name`` equals or prefix-matches the document's."""
-    found = best_match(docs, indexed.select(col("name").alias("key")), F.lit(1))
-    return docs.join(found, "name", "left").withColumn("is_embedded", F.col("best").isNotNull()).drop("best")
+    """Documents with ``is_embedded``: an indexed ``name`` equals or prefix-matches the document's, both in NFC form."""
+    named = docs.withColumn("__nfc", nfc("name"))
+    found = best_match(named.select(F.col("__nfc").alias("name")), indexed.select(nfc(col("name")).alias("key")), F.lit(1))
+    flagged = named.join(found.withColumnRenamed("name", "__nfc"), "__nfc", "left")
+    return flagged.withColumn("is_embedded", F.col("best").isNotNull()).drop("best", "__nfc")
 
 
 def read_artifacts(spark: SparkSession, chosen: DataFrame, root: str) -> DataFrame:
@@ -100,8 +112,10 @@ def read_artifacts(spark: SparkSession, chosen: DataFrame, root: str) -> DataFra
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*_content_list*.json")
         .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+        .select(plain_path("_metadata.file_path").alias("__path"), F.col("value").alias("json"))
     )
-    return files.join(chosen.select("name", "path"), "path").select(
+    # Listed paths have no escapes, so only their slashes are brought to one form.
+    listed = F.regexp_replace("path", "^([A-Za-z][A-Za-z0-9]*):/+(?=[^/])", "$1:/")
+    return files.join(chosen.select("name", listed.alias("__path")), "__path").select(
         F.col("name").alias("doc_id"), F.col("name").alias("doc_title"), F.lit("general").alias("strategy"), "json"
     )

@@ -5,7 +5,7 @@ from chunkloom.operators import edits, export, refine, stats
 from chunkloom.operators.chunking import Chunked, chunk_blocks, chunk_stats
 from chunkloom.operators.tree import reindex
 from chunkloom.sources.blocks import blocks_from_text
-from chunkloom.streaming.ingest import ingest, read_stream
+from chunkloom.streaming.ingest import ingest, live_points, read_stream
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,43 @@ def test_stream_replaces_documents(spark, tmp_path):
 
     assert step([("a", "first", 1), ("a", "second", 2), ("b", "other", 1)]) == {"a": "second", "b": "other"}
     assert step([("a", "third", 3), ("c", "new", 1)]) == {"a": "third", "b": "other", "c": "new"}
+
+
+def test_stream_versions_and_emptied_documents(spark, tmp_path):
+    schema = "doc_id string, text string, v int"
+    src, path = str(tmp_path / "in"), str(tmp_path / "index")
+
+    def step(rows, version):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        ingest(
+            read_stream(spark, src, schema), lambda b: blocks_from_text(b, "doc_id", "text"), path, str(tmp_path / "state"), "main",
+            version=version, buckets=2,
+        ).awaitTermination()
+        return {r.doc_id: r.text for r in live_points(spark, path).collect()}
+
+    v = F.col("v")
+    assert step([("a", "second", 2), ("b", "other", 1)], v) == {"a": "second", "b": "other"}
+    assert step([("a", "first, late", 1), ("c", "new", 1)], v) == {"a": "second", "b": "other", "c": "new"}
+    assert step([("b", "", 2)], v) == {"a": "second", "c": "new"}
+    assert step([("a", "", 3), ("c", " ", 9)], v) == {}
+    assert step([("d", "again", 1)], v) == {"d": "again"}
+
+
+def test_later_batches_win_without_versions(spark, tmp_path):
+    schema = "doc_id string, text string, v int"
+    src, path = str(tmp_path / "in"), str(tmp_path / "index")
+    for text in ("zzz", "aaa", "mmm"):
+        spark.createDataFrame([("a", text, 0)], schema).coalesce(1).write.mode("append").parquet(src)
+        ingest(read_stream(spark, src, schema), lambda b: blocks_from_text(b, "doc_id", "text"), path, str(tmp_path / "state"), "main", buckets=2).awaitTermination()
+        assert [r.text for r in live_points(spark, path).collect()] == [text]
+
+
+def test_long_and_short_documents_together(spark):
+    rows = [("long", "Line of it.\n" * 60), ("short", "One.\nTwo."), ("other", "Text here.\n" * 5)]
+    blocks = blocks_from_text(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text")
+    mixed = chunk_blocks(blocks, 16, 40, range_rows=20)
+    plain = chunk_blocks(blocks, 16, 40, long_docs=False)
+    for a, b in ((mixed.sections, plain.sections), (mixed.parents, plain.parents), (mixed.children, plain.children)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    stats_of = lambda **k: sorted(map(str, chunk_stats(blocks, 16, 40, **k).collect()))
+    assert stats_of(range_rows=20) == stats_of(long_docs=False)

@@ -115,4 +115,27 @@ def test_upsert_and_delete(spark):
 
 def test_collection(spark, tmp_path):
     path = str(tmp_path / "index")
-    assert ix.create_collection(spark, path) and not ix.create_collection(spark, path) and ix.create_collection(spark, path, True)
+    assert ix.create_collection(spark, path, "a") and not ix.create_collection(spark, path, "a") and ix.create_collection(spark, path, "a", True)
+    assert ix.read_index(spark, path).count() == 0
+    row = spark.createDataFrame([], ix.INDEX).unionByName(spark.createDataFrame([("p", "a", "c")], "point_id string, collection string, chunk_id string"), True)
+    row.write.mode("append").partitionBy("collection").parquet(path)
+    assert ix.create_collection(spark, path, "b") and [r.collection for r in ix.read_index(spark, path).collect()] == ["a"]
+    assert ix.create_collection(spark, path, "a", True) and ix.read_index(spark, path).count() == 0
+
+
+def test_collections_are_apart(spark):
+    rows = lambda c, v: spark.createDataFrame([(c, "1", v, "d1", "", ["T"])], "collection string, point_id string, v int, doc_id string, doc_title string, breadcrumbs array<string>")
+    both = ix.upsert(rows("a", 1), rows("b", 2), version=F.col("v"))
+    assert sorted((r.collection, r.v) for r in both.collect()) == [("a", 1), ("b", 2)]
+    gone = spark.createDataFrame([("T",)], "name string")
+    assert [r.collection for r in ix.delete_documents(both, gone, "a").collect()] == ["b"]
+
+
+def test_idf_of_the_whole_collection(spark):
+    points = spark.createDataFrame([(f"c{i}", "red blue" if i < 3 else "red", "x" if i < 2 else "y") for i in range(9)], "chunk_id string, text string, part string")
+    points = points.withColumn("sparse", document_vector(words("text"))).withColumn("dense", F.lit(None).cast("array<float>"))
+    q = spark.createDataFrame([(1, "blue red", None)], "query_id int, text string, dense array<float>").withColumn("sparse", query_vector(words("text")))
+    part = points.where("part = 'x'")
+    scores = {r.chunk_id: r.score for r in search.sparse_scores(q, part, corpus=points).collect()}
+    want = math.log(1 + 6.5 / 3.5) + math.log(1 + 0.5 / 9.5)
+    assert scores == {"c0": round(want, 9), "c1": round(want, 9)}

@@ -1,8 +1,9 @@
 import json
+import unicodedata
 
 from chunkloom.operators.chunking import chunk_blocks
 from chunkloom.sources.artifacts import best_match, describe_artifacts, latest_artifacts, list_artifacts, nfc, read_artifacts
-from chunkloom.sources.blocks import blocks_from_json
+from chunkloom.sources.blocks import blocks_from_json, broken_results
 from pyspark.sql import functions as F
 
 
@@ -96,3 +97,19 @@ def test_prefix_match_needs_ten_characters(spark):
 def test_nfc(spark):
     df = spark.createDataFrame([("한",), (None,)], "n string")
     assert [r.x for r in df.select(nfc("n").alias("x")).collect()] == ["한", None]
+
+
+def test_artifacts_with_spaces_and_hangul(spark, tmp_path):
+    names = ["문서 하나+둘", "100% plain", "a b"]
+    for n in names:
+        (tmp_path / f"{n}_content_list.json").write_text(json.dumps([{"type": "text", "text": n, "page_idx": 0}]))
+    docs = spark.createDataFrame([(unicodedata.normalize("NFD", n),) for n in names], "name string")
+    latest = latest_artifacts(docs, list_artifacts(spark, str(tmp_path)))
+    got = {r.doc_id: r.text for r in blocks_from_json(read_artifacts(spark, latest, str(tmp_path))).collect()}
+    assert got == {unicodedata.normalize("NFD", n): n for n in names}
+
+
+def test_broken_results_are_told(spark):
+    rows = [("ok", "[]"), ("flat", '[{"type": "text", "text": "x", "page_idx": 0}]'), ("cut", '[{"type": "text", "te'), ("none", None), ("blank", " "), ("object", '{"a": 1}')]
+    raw = spark.createDataFrame([(d, d, "general", j) for d, j in rows], "doc_id string, doc_title string, strategy string, json string")
+    assert {r.doc_id: r.error for r in broken_results(raw).collect()} == {"cut": "not a list of blocks", "none": "empty", "blank": "empty", "object": "not a list of blocks"}

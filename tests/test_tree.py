@@ -1,4 +1,4 @@
-from chunkloom.operators import tree
+from chunkloom.operators import edits, tree
 from chunkloom.operators.chunking import Chunked
 from chunkloom.schemas import CHILDREN, PARENTS, SECTIONS
 
@@ -67,3 +67,31 @@ def test_reindex(spark):
     assert kids["t3"].page_end == 2 and "image_path" not in kids["t3"].metadata and kids["t3"].metadata["k"] == "v"
     crumbs = {r.title: r.breadcrumbs for r in out.chunked.parents.collect()}
     assert crumbs == {"L": ["Root", "Late", "L"], "Sub": ["Root", "Container", "Sub"], "E": ["Root", "Early", "E"]}
+
+
+def test_children_follow_moved_parents(spark):
+    s = sections(spark, [("d_s00", "Root", 0, None, 1, 1), ("a", "A", 1, "d_s00", 1, 1)])
+    parents = spark.createDataFrame([("d", f"P{i}", i, "a", f"T{i}", "text", 1, 1, 1, [], False) for i in (1, 2, 3)], PARENTS)
+    child = lambda i, p: ("d", f"C{i}", i, p, "a", "paragraph", f"t{i}", None, None, None, None, 3, 1, 1, [], False, False, False, False, {})
+    children = spark.createDataFrame([child(1, "P1"), child(2, "P1"), child(3, "P2"), child(4, "P3"), child(5, "gone")], CHILDREN)
+    moves = spark.createDataFrame([("d", "P2", 0)], "doc_id string, parent_chunk_id string, ordinal int")
+    moved = edits.reorder_parents(Chunked(s, parents, children), moves)
+    order = lambda rows, pos, name: [r[name] for r in rows.orderBy(pos).collect()]
+    assert order(moved.parents, "parent_pos", "title") == ["T2", "T1", "T3"]
+    assert order(moved.children, "child_pos", "text") == ["t3", "t1", "t2", "t4", "t5"]
+    # Children that were left behind are brought into order by re-id too.
+    out = tree.reindex(Chunked(s, moved.parents, children)).chunked
+    assert order(out.parents, "parent_chunk_id", "title") == ["T2", "T1", "T3"]
+    assert order(out.children, "chunk_id", "text") == ["t3", "t1", "t2", "t4", "t5"]
+
+
+def test_parents_follow_moved_sections(spark):
+    s = sections(spark, [("d_s00", "Root", 0, None, 1, 1), ("a", "A", 1, "d_s00", 1, 1), ("b", "B", 1, "d_s00", 1, 1)])
+    parents = spark.createDataFrame([("d", f"P{i}", i, sec, f"T{i}", "text", 1, 1, 1, [], False) for i, sec in ((1, "a"), (2, "b"))], PARENTS)
+    child = lambda i, p, sec: ("d", f"C{i}", i, p, sec, "paragraph", f"t{i}", None, None, None, None, 3, 1, 1, [], False, False, False, False, {})
+    children = spark.createDataFrame([child(1, "P1", "a"), child(2, "P2", "b")], CHILDREN)
+    moves = spark.createDataFrame([("d", "b", 0)], "doc_id string, section_id string, ordinal int")
+    out = tree.reindex(edits.reorder_sections(Chunked(s, parents, children), moves)).chunked
+    assert [r.title for r in out.sections.orderBy("section_id").collect()] == ["Root", "B", "A"]
+    assert [r.title for r in out.parents.orderBy("parent_chunk_id").collect()] == ["T2", "T1"]
+    assert [r.text for r in out.children.orderBy("chunk_id").collect()] == ["t2", "t1"]
