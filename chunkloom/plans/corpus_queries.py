@@ -11,6 +11,7 @@ from ..operators.export import export_records, repair_titles, with_overlay
 from ..operators.index import without_documents
 from ..operators.headings import drop_furniture
 from ..sources.blocks import blocks_from_html, blocks_from_text
+from . import chunk_sql
 from .tables import line_children, line_chunks, line_sections, table, with_lines
 
 QUERIES = {}
@@ -35,22 +36,22 @@ def chunked_pages(spark, sf):
     return chunk_blocks(blocks_from_html(table(spark, sf, "pages"), "page_id", "html", "url"))
 
 
-@query("general_chunk_stats")
+@query("general_chunk_stats", chunk_sql.chunks() + chunk_sql.STATS, lines=False)
 def general_chunk_stats(spark, sf):
     return chunk_stats(blocks_from_text(table(spark, sf, "documents"), "doc_id", "text"))
 
 
-@query("general_children")
+@query("general_children", chunk_sql.chunks() + chunk_sql.CHILDREN, lines=False)
 def general_children(spark, sf):
     return chunked_documents(spark, sf).children.drop("metadata", "breadcrumbs")
 
 
-@query("general_parents")
+@query("general_parents", chunk_sql.chunks() + chunk_sql.PARENTS, lines=False)
 def general_parents(spark, sf):
     return chunked_documents(spark, sf).parents.drop("breadcrumbs")
 
 
-@query("legal_children")
+@query("legal_children", chunk_sql.chunks(legal=True) + chunk_sql.CHILDREN, lines=False)
 def legal_children(spark, sf):
     return chunked_documents(spark, sf, "legal").children.drop("metadata", "breadcrumbs")
 

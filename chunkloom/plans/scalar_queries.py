@@ -11,6 +11,7 @@ from ..operators.encode import words
 from ..operators.stats import diff_stats
 from ..sources.artifacts import best_match, describe_artifacts
 from ..sources.blocks import blocks_from_html, blocks_from_json
+from . import chunk_sql
 from .tables import TOKENS, table
 
 QUERIES = {}
@@ -74,14 +75,14 @@ def sentence_pieces(spark, sf):
     return rows.groupBy("doc_id", "piece").agg(F.count("*").alias("n"))
 
 
-@query("text_units")
+@query("text_units", chunk_sql.unit_rows())
 def text_units(spark, sf):
     unit = F.posexplode(tx.weighted_units("text")).alias("unit_no", "u")
     rows = table(spark, sf, "documents").select("doc_id", unit)
     return rows.select("doc_id", "unit_no", F.col("u.s").alias("unit"), F.col("u.w").alias("tokens"))
 
 
-@query("clause_units")
+@query("clause_units", chunk_sql.unit_rows(legal=True))
 def clause_units(spark, sf):
     unit = F.posexplode(tx.weighted_units("text", legal=True)).alias("unit_no", "u")
     rows = table(spark, sf, "documents").select("doc_id", unit)

@@ -19,6 +19,7 @@ from ..session import checkpoint_dir, cut_lineage
 from ..sources.artifacts import mark_indexed
 from ..sources.blocks import blocks_from_text
 from ..streaming.ingest import ingest, live_points
+from . import chunk_sql
 from .tables import line_chunks, table, with_lines
 
 QUERIES = {}
@@ -280,7 +281,7 @@ def index_job(spark, sf):
     return job.manifest.drop("indexed_at").join(F.broadcast(report))  # the report is one row
 
 
-@query("stream_ingest")
+@query("stream_ingest", chunk_sql.chunks() + chunk_sql.INGESTED)
 def stream_ingest(spark, sf):
     """All documents through the streaming ingest into a fresh index; chunks and tokens per document."""
     base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
