@@ -70,6 +70,19 @@ def with_results(docs: DataFrame, results: DataFrame, columns: list[str], how: s
     return left.join(right, keys[:2], how).drop(*keys[:2]), keys[2:]
 
 
+KEY_BUCKETS = 2**20
+
+
+def maybe_among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be one of ``keys`` (of that column), so that a join moves few others.
+
+    Keys are told apart by bucket, and at most ``KEY_BUCKETS`` bucket numbers are broadcast, however many keys there are.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(KEY_BUCKETS))
+    (name,) = fresh(df, "bucket")
+    return df.withColumn(name, bucket).join(F.broadcast(keys.select(bucket.alias(name)).distinct()), name, "left_semi").drop(name)
+
+
 def hash_part(mod: int) -> Column:
     """crc32 of doc_id as text (null: empty text) modulo ``mod``."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
