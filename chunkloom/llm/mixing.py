@@ -14,6 +14,7 @@ from .common import WORD, id_back, identity, stored, text_of, with_results
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # of all sizes
 MOST = 2  # times a source's size
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -110,6 +111,9 @@ def copies(docs: DataFrame, block_rows: int = 4096, fan_in: int = 256) -> tuple[
     plan = targets.join(facts.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("rows") / block_rows).alias("blocks")
     )
+    n_sources, most_blocks = plan.agg(F.count("*"), F.max("blocks")).first()
+    # One short row per source; beyond the bound the same join shuffles.
+    plan = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
         "k_id", "k_text", "source", "size", "times", "source_size", "target", rate.alias("rate"),
@@ -119,7 +123,7 @@ def copies(docs: DataFrame, block_rows: int = 4096, fan_in: int = 256) -> tuple[
     level_rows = start.where((F.col("size") > 0) & (fraction > 1e-9) & (fraction < 1 - 1e-9)).select(
         "k_id", "k_text", "source", (F.col("size") * F.col("times")).alias("size"), "block", fraction.alias("p")
     )
-    most_blocks = plan.agg(F.max("blocks")).first()[0] or 1
+    most_blocks = most_blocks or 1
     settled: list[DataFrame] = []
     level = 0
     while True:
