@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..session import cut_lineage
 from .encode import Encoder, postings, query_dense, query_vector, words
 
 RRF_K = 60
 SALTS = 32  # postings of one token are spread over this many tasks
 BROADCAST_ROWS = 100_000  # query terms up to this count are broadcast
 QUERY_BLOCK = 2048  # query vectors scored in one pass over the index
+SCORES_AT_ONCE = 2_000_000  # scores of rows by queries that a task holds
 SCORE_DIGITS = 9  # scores closer than this are ties, broken by chunk id
 
 
@@ -73,20 +75,84 @@ def sparse_scores(queries: DataFrame, index: DataFrame, salts: int = SALTS, corp
 
 
 def sparse_top(queries: DataFrame, index: DataFrame, limit: int, corpus: DataFrame | None = None) -> DataFrame:
-    return top_per_query(sparse_scores(queries, index, corpus=corpus), limit)
+    """Best ``limit`` chunks per query by sparse score, with ``sparse_scores`` as the definition.
+
+    The whole vector of a chunk is in one row, so a task scores its rows against the query terms and returns only its
+    best per query: no pair of query and chunk is written out. Queries go to the tasks in blocks of bounded size.
+    """
+    whole = index if corpus is None else corpus
+    terms = postings(queries, "query_id").withColumnRenamed("val", "weight")
+    n_terms = terms.count()
+    wanted = terms.select("idx").distinct()
+    wanted = F.broadcast(wanted) if n_terms <= BROADCAST_ROWS else wanted
+    counts = postings(whole, "chunk_id").join(wanted, "idx", "left_semi").groupBy("idx").agg(F.count("*").alias("df"))
+    weights = _with_idf(counts, whole).select("idx", "idf")
+    # Used once per block of queries.
+    terms = cut_lineage(terms.join(weights, "idx").select("query_id", "idx", (F.col("weight") * F.col("idf")).alias("weight")))
+    blocks = -(-n_terms // BROADCAST_ROWS) or 1
+    id_type = dict(queries.dtypes)["query_id"]
+    schema = f"query_id {id_type}, chunk_id string, score double"
+    rows = index.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("sparse.indices").alias("indices"), F.col("sparse.values").alias("weights"))
+    found = index.sparkSession.createDataFrame([], schema)
+    for b in range(blocks):
+        block = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else terms
+        found = found.unionByName(rows.mapInPandas(_best_sparse(block.toPandas(), limit), schema))
+    return top_per_query(found, limit)
+
+
+def _best(names: np.ndarray, scores: np.ndarray, limit: int) -> np.ndarray:
+    """Numbers of the best rows: highest score, then first name."""
+    if len(scores) > limit:
+        edge = np.partition(scores, len(scores) - limit)[len(scores) - limit]
+        near = np.flatnonzero(scores >= edge)
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((names[near], -scores[near]))[:limit]]
+
+
+def _best_sparse(terms: pd.DataFrame, limit: int):
+    """Function over batches of (chunk_id, indices, weights): the best rows of the partition per query."""
+    terms = terms.sort_values(["idx", "query_id"], kind="stable")
+    ids, query = np.unique(terms["query_id"].to_numpy(), return_inverse=True)
+    tokens, starts, counts = np.unique(terms["idx"].to_numpy(), return_index=True, return_counts=True)
+    weight = terms["weight"].to_numpy(dtype=np.float64)
+
+    def scored(indices: list, values: list) -> np.ndarray:
+        lengths = np.array([len(x) for x in indices])
+        row = np.repeat(np.arange(len(indices)), lengths)
+        flat, value = np.concatenate(indices), np.concatenate(values)
+        at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+        hit = np.flatnonzero(tokens[at] == flat)
+        many = counts[at[hit]]
+        which = np.repeat(starts[at[hit]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        source = np.repeat(hit, many)
+        sums = np.bincount(row[source] * len(ids) + query[which], value[source] * weight[which], len(indices) * len(ids))
+        return np.round(sums.reshape(len(indices), len(ids)), SCORE_DIGITS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = [(np.array([], dtype=str), np.array([])) for _ in ids]
+        size = max(1, SCORES_AT_ONCE // max(1, len(ids)))
+        for pdf in batches:
+            pdf = pdf[pdf["indices"].map(lambda x: x is not None and len(x) > 0)]
+            for s in range(0, len(pdf) if len(ids) else 0, size):
+                part = pdf.iloc[s : s + size]
+                scores, names = scored(list(part["indices"]), list(part["weights"])), part["chunk_id"].to_numpy(dtype=str)
+                for q in range(len(ids)):
+                    near = np.flatnonzero(scores[:, q])
+                    if len(near):
+                        n, v = np.concatenate([kept[q][0], names[near]]), np.concatenate([kept[q][1], scores[near, q]])
+                        pick = _best(n, v, limit)
+                        kept[q] = (n[pick], v[pick])
+        for q, (n, v) in zip(ids, kept):
+            if len(n):
+                yield pd.DataFrame({"query_id": [q] * len(n), "chunk_id": n, "score": v})
+
+    return run
 
 
 def _best_in_partition(ids: list, matrix: np.ndarray, limit: int):
     """Function over batches of (chunk_id, dense): the best rows of the partition per query."""
 
-    def best(names: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        if len(scores) > limit:
-            edge = np.partition(scores, len(scores) - limit)[len(scores) - limit]
-            near = np.flatnonzero(scores >= edge)
-        else:
-            near = np.arange(len(scores))
-        return near[np.lexsort((names[near], -scores[near]))[:limit]]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], dtype=str), np.array([])) for _ in ids]
         for pdf in batches:
@@ -97,10 +163,10 @@ def _best_in_partition(ids: list, matrix: np.ndarray, limit: int):
             scores = np.round((rows / np.where(norm == 0, 1, norm)) @ matrix.T, SCORE_DIGITS)
             names = pdf["chunk_id"].to_numpy(dtype=str)
             for q in range(len(ids)):
-                near = best(names, scores[:, q])
+                near = _best(names, scores[:, q], limit)
                 n = np.concatenate([kept[q][0], names[near]])
                 s = np.concatenate([kept[q][1], scores[near, q]])
-                pick = best(n, s)
+                pick = _best(n, s, limit)
                 kept[q] = (n[pick], s[pick])
         for q, (n, s) in zip(ids, kept):
             if len(n):
