@@ -21,7 +21,7 @@ from .training import SAMPLE_ROWS, best_cut, fit_logistic, labelled
 
 FOLDS, HELD = 3, 1
 CUT = 0.7
-LEXICON_TERMS = 400  # most terms of the lexicon
+LEXICON_TERMS = 400  # most terms of the lexicon, without words that are there for their edits only
 FUZZY_TERMS = 80  # most terms that are also found with one edit
 FUZZY_LEAST = 5  # letters of the shortest of them
 STEMS = range(4, 8)  # letters of stems
@@ -57,6 +57,7 @@ class Term:
     text: str
     stem: bool
     weight: float
+    fuzzy: bool = False
 
 
 @dataclass
@@ -84,7 +85,8 @@ class Automaton:
 def build_automaton(terms: list[Term], fuzzy: set[int]) -> Automaton:
     """Subset construction over (trie node, edits): an edit replaces, inserts or leaves out one letter."""
     children: list[dict[str, int]] = [{}]
-    ends: list[int] = [-1]  # term of a node
+    # A text can be a stem, a word and a fuzzy word at once: each has its own end.
+    stems, words, near = [-1], [-1], [-1]
     loose: list[bool] = [False]  # a fuzzy term lies below
     for no, t in enumerate(terms):
         node = 0
@@ -92,13 +94,15 @@ def build_automaton(terms: list[Term], fuzzy: set[int]) -> Automaton:
             if ch not in children[node]:
                 children[node][ch] = len(children)
                 children.append({})
-                ends.append(-1)
+                for ends in (stems, words, near):
+                    ends.append(-1)
                 loose.append(False)
             loose[node] = loose[node] or no in fuzzy
             node = children[node][ch]
         loose[node] = loose[node] or no in fuzzy
-        if ends[node] < 0 or terms[ends[node]].weight < t.weight:
-            ends[node] = no
+        for ends in [stems] if t.stem else [words, near] if no in fuzzy else [words]:
+            if ends[node] < 0 or terms[ends[node]].weight < t.weight:
+                ends[node] = no
 
     def closed(nodes: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         out = set(nodes)
@@ -125,8 +129,8 @@ def build_automaton(terms: list[Term], fuzzy: set[int]) -> Automaton:
                 nxt = children[node].get(ch) if ch else None
                 if nxt is not None and (e == 0 or loose[nxt]):
                     got.add((nxt, e))
-                    no = ends[nxt]
-                    if e == 0 and no >= 0 and terms[no].stem and (best < 0 or terms[no].weight > terms[best].weight):
+                    no = stems[nxt]
+                    if e == 0 and no >= 0 and (best < 0 or terms[no].weight > terms[best].weight):
                         best = no
                 if e == 0 and loose[node]:
                     got.add((node, 1))
@@ -145,8 +149,8 @@ def build_automaton(terms: list[Term], fuzzy: set[int]) -> Automaton:
         term[i] = stem
         settled[i] = not nodes
         for node, e in nodes:
-            no = ends[node]
-            if no < 0 or (e and no not in fuzzy) or (terms[no].stem and e):
+            no = near[node] if e else words[node]
+            if no < 0:
                 continue
             if (w := terms[no].weight * (FUZZY_WEIGHT if e else 1.0)) > value:
                 value, term[i], edits[i] = w, no, e
@@ -228,7 +232,8 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 def learn_lexicon(sample: DataFrame) -> list[Term]:
     """Terms that far more toxic than other documents have, from (text, label), strongest first.
 
-    Weights are log odds of document frequencies. A word that a stem stands for is kept only if it is clearly stronger.
+    Weights are log odds of document frequencies. A word that a stem stands for is kept if it is clearly stronger, or
+    for its edits, which the stem does not have: the first ``FUZZY_TERMS`` long words by odds and frequency are fuzzy.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +258,11 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     totals = sample.mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     least = max(3.0, 0.004 * n_toxic)
-    strong = totals.where(F.col("toxic") >= least).select("term", "toxic", odds.alias("odds")).where(F.col("odds") > 1.5)
+    strong = stored(totals.where(F.col("toxic") >= least).select("term", "toxic", odds.alias("odds")).where(F.col("odds") > 1.5))
     rank = F.col("odds") * F.sqrt("toxic")
     rows = strong.orderBy(F.desc(rank), "term").limit(4 * LEXICON_TERMS).collect()
+    long = (~F.col("term").endswith("*")) & (F.length("term") >= FUZZY_LEAST)
+    fuzzy = {r["term"]: r["odds"] for r in strong.where(long).orderBy(F.desc(rank), "term").limit(FUZZY_TERMS).collect()}
     stems: dict[str, float] = {}
     for r in rows:
         t = r["term"]
@@ -266,14 +273,14 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
         t = r["term"]
         if not t.endswith("*") and not any(t.startswith(s) and r["odds"] < w + 0.7 for s, w in stems.items() if s != t):
             terms.append(Term(t, False, r["odds"]))
-    return sorted(terms, key=lambda x: -x.weight)[:LEXICON_TERMS]
+    terms = [t for t in sorted(terms, key=lambda x: -x.weight)[:LEXICON_TERMS] if t.stem or t.text not in fuzzy]
+    return sorted(terms + [Term(t, False, w, True) for t, w in fuzzy.items()], key=lambda x: -x.weight)
 
 
 def fit(sample: DataFrame) -> Model:
     """A model from (text, label); the driver gets the lexicon and numbers per document, never texts."""
     terms = learn_lexicon(sample)
-    long = [i for i, t in enumerate(terms) if not t.stem and len(t.text) >= FUZZY_LEAST]
-    model = Model(terms, build_automaton(terms, set(long[:FUZZY_TERMS])))
+    model = Model(terms, build_automaton(terms, {i for i, t in enumerate(terms) if t.fuzzy}))
     table = measured(sample.select("text", "label"), model, "label int").toPandas()
     x = inputs(table[list(FEATURES)].to_numpy(dtype=float)) if len(table) else np.zeros((0, 7))
     y = table["label"].to_numpy(dtype=float)
@@ -286,7 +293,7 @@ def fit(sample: DataFrame) -> Model:
 
 def measured(rows: DataFrame, model: Model, kept: str) -> DataFrame:
     """The column ``kept`` (name and type) of (text, kept) and the features of the text."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # LEXICON_TERMS bounds it
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # LEXICON_TERMS and FUZZY_TERMS bound it
     name = kept.split()[0]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,6 +80,30 @@ def test_automaton():
         assert got == pytest.approx(max(values)), w
 
 
+def test_misspelt_terms(spark):
+    """One edit anywhere in a learned word is a hit, beside stems that cover the word and rarer words of higher odds."""
+    terms = ["idiot", "stupid", "worthless", "moron", "loser", "pathetic"]
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("bdfgkvwxz") for _ in range(9)) for _ in range(100)]
+    toxic = [f"the {terms[i % 6]} and {terms[(i + 1) % 6]} here {' '.join(noise[k] for k in range(100) if (k + i) % 20 < 3)}" for i in range(60)]
+    clean = [f"the table and chair here number {i}" for i in range(300)] + [f"not {t} at all" for t in terms]
+    model = toxicity.fit(spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, label int"))
+    misspelt = {"ydiot": 0, "idoit": None, "sttupid": 1, "tupid": 1, "mroron": 3, "moronn": 3, "worrthless": 2, "worthles": 2, "looser": 4, "pqthetic": 5}
+    found = model.features(list(misspelt))
+    for (word, no), f in zip(misspelt.items(), found):
+        assert f[0] == (no is not None), word  # two letters that change places are two edits
+    assert [t.text for t in model.terms if t.stem and terms[4].startswith(t.text)]  # a stem covers a term
+    assert sum(t.fuzzy for t in model.terms) <= toxicity.FUZZY_TERMS
+
+
+def test_stem_and_word_of_one_text():
+    terms = [toxicity.Term("loser", True, 2.0), toxicity.Term("loser", False, 3.0, True)]
+    auto = toxicity.build_automaton(terms, {1})
+    codes = toxicity.codes_of("loser losers looser loosers lose")
+    term, edit = auto.match(codes, *toxicity.word_bounds(codes))
+    assert list(zip(term.tolist(), edit.tolist())) == [(1, 0), (1, 1), (1, 1), (-1, 0), (1, 1)]
+
+
 def test_context_window():
     text = 'x "idiot" y'
     assert toxicity.window_factor(text, 3, 8) < toxicity.window_factor("you idiot", 4, 9)
