@@ -121,6 +121,25 @@ def test_jaccard_messy(messy, nothing):
     assert jaccard_join.drop_near_copies(messy).columns == messy.columns
 
 
+def test_near_copies_by_null_and_shared_ids(spark):
+    """No id links texts: of rows without id or with one id, all that are no near copies stay."""
+    text = lambda k: " ".join(f"k{k}w{i}" for i in range(60))
+    data = [(7, text(7)), (9, text(9)), (None, text(7) + " end"), (None, text(9) + " end")]  # near 7 and near 9
+    data += [(None, text(k)) for k in (1, 2, 3)] + [(None, text(3) + " more"), (None, None), (None, " \t"), (None, "")]
+    data += [(20, text(20)), (20, text(21)), (22, text(21) + " end"), (5, text(30)), (5, text(31)), (6, text(31)), (6, text(32))]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.drop_near_copies(docs).collect()), key=str)
+    chosen = {text(3), text(3) + " more"}
+    assert len(chosen & {t for _, t in kept}) == 1
+    gone = [(None, text(7) + " end"), (None, text(9) + " end"), (22, text(21) + " end"), (6, text(31))]
+    assert [r for r in kept if r[1] not in chosen] == sorted((r for r in data if r not in gone and r[1] not in chosen), key=str)
+    report = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_report(docs).collect()), key=str)
+    want = [(7, 56, 7), (9, 56, 9), (None, 57, 7), (None, 57, 9)]
+    want += [(None, 56, None)] * 3 + [(None, 57, None)] + [(None, 0, None)] * 3
+    want += [(20, 56, 20), (20, 56, 20), (22, 57, 20), (5, 56, 5), (5, 56, 5), (6, 56, 5), (6, 56, 6)]
+    assert report == sorted(want, key=str)
+
+
 def test_jaccard_near_copies(spark, monkeypatch):
     """Chains of near copies around the threshold, in groups larger than a block and tokens above the pair limit."""
     rng = random.Random(8)
