@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, secret_scan, toxicity, url_filter
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    language,
+    line_dedup,
+    merkle,
+    mixing,
+    quality,
+    reversed_search,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 from .common import id_back, table
 
 
@@ -52,6 +66,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents")).drop("path")
+
+
+def op13_reversed_search(spark, sf_dir):
+    return reversed_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -63,6 +89,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_html_text": op11_html_text,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_reversed_search": op13_reversed_search,
 }
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -174,4 +203,62 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace
 w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id,
              count(*) OVER (PARTITION BY h) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM w""",
+    # For pages whose text is in one article of h1, p, b and br, as these tables have them.
+    "op11_html_text": """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, generate_subscripts(x, 1) AS i, unnest(x) AS t
+      FROM (SELECT page_id, string_split_regex(regexp_replace(replace(t, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>') AS x FROM a)),
+c AS (SELECT page_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'),
+             '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM b),
+e AS (SELECT page_id, i, trim(regexp_replace(t, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS t FROM c),
+g AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS t FROM e WHERE t <> '' GROUP BY page_id)
+SELECT a.page_id, url, coalesce(g.t, '') AS text, length(coalesce(g.t, ''))::BIGINT AS n_chars FROM a LEFT JOIN g ON a.page_id = g.page_id""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE f AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE 'l' || lang END AS k, n_chars, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))),
+             4294967295) % 7 = 0 AS hit FROM documents),
+d AS (SELECT doc_id, k, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+             sha256(head || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || tail) AS shown FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+t AS (SELECT k, 0 AS lvl, i, n, leaf AS h FROM o
+      UNION ALL SELECT k, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY k, lvl, i // 2, n),
+s AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, n, h FROM s
+      UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+p AS (SELECT o.doc_id, o.k, x.lvl AS step, (o.i >> x.lvl) % 2 = 0 AS first, coalesce(y.h, '') AS sib
+      FROM o JOIN (SELECT DISTINCT k, lvl FROM t WHERE n > 1) x ON o.k = x.k
+      LEFT JOIN t y ON y.k = o.k AND y.lvl = x.lvl AND y.i = xor(o.i >> x.lvl, 1)
+      UNION ALL
+      SELECT o.doc_id, o.k, 100 + x.lvl, (s.i >> x.lvl) % 2 = 0, coalesce(y.h, '')
+      FROM o JOIN s ON o.k = s.k JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) x ON true
+      LEFT JOIN u y ON y.lvl = x.lvl AND y.i = xor(s.i >> x.lvl, 1)),
+q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS no, first, sib FROM p),
+r AS (SELECT doc_id, 0 AS no, shown AS h FROM o
+      UNION ALL SELECT r.doc_id, r.no + 1, sha256(CASE WHEN first THEN h || sib ELSE sib || h END)
+      FROM r JOIN q ON r.doc_id = q.doc_id AND q.no = r.no + 1),
+e AS (SELECT doc_id, arg_max(h, no) AS folded_root FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, string_agg(sib, '' ORDER BY no) AS sibs FROM q GROUP BY doc_id)
+SELECT o.doc_id, leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(sibs, '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM u WHERE n = 1) AS verified
+FROM o JOIN s ON o.k = s.k JOIN e ON o.doc_id = e.doc_id LEFT JOIN g ON o.doc_id = g.doc_id""",
+    "op13_reversed_search": """
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+c AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+k AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM l),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT t, count(*) AS df FROM c WHERE t IN (SELECT t FROM b) GROUP BY t), k),
+m AS (SELECT doc_id, 100 - 90 + ((90 * n * docs) // words) AS m FROM l, k),
+s AS (SELECT item_id, c.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM c JOIN w ON c.t = w.t JOIN b ON b.t = c.t JOIN m ON m.doc_id = c.doc_id GROUP BY ALL),
+r AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
