@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.meta import page_end, page_list, page_start, sync_pages, without_image_keys, overlay
 from ..functions.text import breadcrumb_string, non_empty, parent_context, token_estimate
+from ..schemas import CHILDREN, PARENTS, SECTIONS
+from ..sources.versioned import VersionedTables
 from .chunking import Chunked
 from .filters import active
 from .index import without_documents
@@ -122,21 +126,46 @@ def repair_titles(chunked: Chunked, titles: DataFrame) -> Chunked:
     )
 
 
-def save_edited(edited: Chunked, path: str) -> None:
-    """Store edited documents: only their own partitions are replaced."""
-    for n in ("sections", "parents", "children"):
-        (
-            getattr(edited, n)
-            .repartitionByRange("doc_id", F.col({"sections": "section_pos", "parents": "parent_pos", "children": "child_pos"}[n]))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("doc_id")
-            .parquet(f"{path}/{n}")
-        )
+def edited_store(spark: SparkSession, path: str) -> VersionedTables:
+    """The store of saved edits: versions of whole documents, the last save counts."""
+    return VersionedTables(
+        spark, path, {"sections": SECTIONS, "parents": PARENTS, "children": CHILDREN},
+        {"sections": "section_pos", "parents": "parent_pos", "children": "child_pos"},
+    )
+
+
+def save_edited(edited: Chunked, path: str, docs: DataFrame | None = None) -> int:
+    """Save edited documents as one commit, which replaces what was saved of them in all three tables.
+
+    A document is saved if a table has rows of it or ``docs`` (doc_id) lists it; tables without rows of it are empty
+    for it afterwards. Returns the number of the commit.
+    """
+    tables = {n: getattr(edited, n) for n in ("sections", "parents", "children")}
+    owners = reduce(DataFrame.union, [t.select("doc_id") for t in tables.values()] + ([docs.select("doc_id")] if docs is not None else []))
+    return edited_store(edited.sections.sparkSession, path).commit(tables, owners.distinct())
+
+
+def load_edited(spark: SparkSession, path: str) -> Chunked:
+    """The saved edits; documents that were reset are not among them."""
+    store = edited_store(spark, path)
+    return Chunked(*(store.read(n) for n in ("sections", "parents", "children")))
+
+
+def reset_saved(spark: SparkSession, path: str, docs: DataFrame) -> int:
+    """Drop the saved edits of the listed documents (``doc_id``); they fall back to their computed versions."""
+    return edited_store(spark, path).delete(docs.select(F.col("doc_id").alias("name")))
+
+
+def saved_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id) of the documents that have a saved edit, also one without any chunk left."""
+    return edited_store(spark, path).kept_owners().select("doc_id")
 
 
-def load_edited(spark, path: str) -> Chunked:
-    return Chunked(*(spark.read.parquet(f"{path}/{n}") for n in ("sections", "parents", "children")))
+def with_saved(computed: Chunked, path: str) -> Chunked:
+    """Saved edits replace the computed versions of their documents."""
+    spark = computed.sections.sparkSession
+    docs, edited = saved_documents(spark, path), load_edited(spark, path)
+    return Chunked(*(without_documents(getattr(computed, n), docs).unionByName(getattr(edited, n)) for n in ("sections", "parents", "children")))
 
 
 def reset_edits(edited: Chunked, docs: DataFrame) -> Chunked:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import breadcrumb_string
-from ..operators import edits
+from ..operators import edits, export
+from ..operators.chunking import Chunked
 from ..operators.tree import rebuild
-from .tables import TOKENS, line_children, line_chunks, with_lines
+from ..session import scratch_dir
+from .tables import TOKENS, line_children, line_chunks, table, with_lines
 
 QUERIES = {}
 ORACLES = {}
@@ -349,3 +351,50 @@ def copied_metadata(spark, sf):
     e = c.join(first, "doc_id").where(F.col("chunk_id") != F.col("source_id")).select("doc_id", "chunk_id", "source_id")
     out = edits.copy_metadata(c, e)
     return out.select("doc_id", "chunk_id", F.element_at("metadata", "source").alias("source"), F.element_at("metadata", "page").alias("page"))
+
+
+def _language(spark, sf, lang):
+    """Chunk tables of the documents in one language."""
+    docs = table(spark, sf, "documents").where(F.col("lang") == lang).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"))
+    c = line_chunks(spark, sf)
+    return Chunked(*(t.join(docs, "doc_id", "left_semi") for t in (c.sections, c.parents, c.children))), docs
+
+
+def _saved(spark, sf):
+    """Edits of French, German and Spanish documents saved one after the other, the German ones without children in the end."""
+    path = f"{scratch_dir(spark, 'edits')}"
+    note = lambda c, text: Chunked(c.sections, c.parents, c.children.withColumn("text", F.concat(F.lit(text), "text")))
+    french, _ = _language(spark, sf, "fr")
+    german, _ = _language(spark, sf, "de")
+    spanish, docs = _language(spark, sf, "es")
+    export.save_edited(note(french, "first: "), path)
+    export.save_edited(note(german, "lost: "), path)
+    export.save_edited(Chunked(german.sections, german.parents, german.children.where("false")), path)
+    export.save_edited(note(french, "second: "), path)
+    nothing = (t.where("false") for t in (spanish.sections, spanish.parents, spanish.children))
+    export.save_edited(Chunked(*nothing), path, docs)
+    return path
+
+
+@query(
+    "saved_edits",
+    "SELECT doc_id, chunk_id, CASE WHEN lang = 'fr' THEN 'second: ' || text ELSE text END AS text FROM children WHERE lang NOT IN ('de', 'es')",
+)
+def saved_edits(spark, sf):
+    path = _saved(spark, sf)
+    return export.with_saved(line_chunks(spark, sf), path).children.select("doc_id", "chunk_id", "text")
+
+
+@query(
+    "reset_documents",
+    "SELECT doc_id, chunk_id, text, NULL::VARCHAR AS saved FROM children WHERE lang <> 'es'",
+)
+def reset_documents(spark, sf):
+    """French and German documents are reset; of the saved edits nothing but the emptied Spanish documents is left."""
+    path = _saved(spark, sf)
+    _, french = _language(spark, sf, "fr")
+    _, german = _language(spark, sf, "de")
+    export.reset_saved(spark, path, french.union(german))
+    saved = export.load_edited(spark, path).children.select("doc_id", "chunk_id", F.col("text").alias("saved"))
+    rows = export.with_saved(line_chunks(spark, sf), path).children.select("doc_id", "chunk_id", "text")
+    return rows.join(saved, ["doc_id", "chunk_id"], "left")

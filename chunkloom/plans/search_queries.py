@@ -15,10 +15,11 @@ from ..operators import index as ix
 from ..operators import search
 from ..operators.encode import document_vector, normalized, postings, query_vector, words
 from ..operators.refine import refine
-from ..session import checkpoint_dir, cut_lineage
+from ..operators.cleanup import clean_documents, document_store, store_documents
+from ..session import checkpoint_dir, cut_lineage, scratch_dir
 from ..sources.artifacts import mark_indexed
 from ..sources.blocks import blocks_from_text
-from ..streaming.ingest import ingest, live_points
+from ..streaming.ingest import ingest, ingest_versions, live_points, point_versions
 from . import chunk_sql
 from .tables import line_chunks, table, with_lines
 
@@ -294,6 +295,59 @@ def stream_ingest(spark, sf):
     return points_table.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
+@query(
+    "cleaned_everything",
+    """, toxic AS (SELECT 'd' || doc_id AS doc_id FROM labels WHERE toxic = 1)
+       SELECT 'children' AS of_table, doc_id, count(*) AS n FROM children WHERE doc_id NOT IN (FROM toxic) GROUP BY 2
+       UNION ALL SELECT 'points', doc_id, count(*) FROM children WHERE NOT is_ignored AND section_title <> 'Section 2' AND doc_id NOT IN (FROM toxic) GROUP BY 2
+       UNION ALL SELECT 'manifest', doc_id, count(*) FROM children WHERE NOT is_ignored AND doc_id NOT IN (FROM toxic) GROUP BY 2
+       UNION ALL SELECT 'sections', doc_id, count(*) FROM sections WHERE doc_id NOT IN (FROM toxic) GROUP BY 2""",
+    lines=True,
+)
+def cleaned_everything(spark, sf):
+    """Toxic documents leave chunks, points and manifest, chunks of sections named Section 2 the points; read after compaction."""
+    store = document_store(spark, scratch_dir(spark, "documents"))
+    c = line_chunks(spark, sf)
+    store_documents(store, c, ix.index_points(c.children, c.parents, "main"))
+    toxic = table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
+    clean_documents(store, toxic.union(spark.range(1).select(F.lit("Section 2"))))
+    store.compact()
+    count = lambda name, n: store.read(name).groupBy("doc_id").agg(n.alias("n")).select(F.lit(name).alias("of_table"), "doc_id", "n")
+    rows = F.count("*")
+    return (
+        count("children", rows).unionByName(count("points", rows)).unionByName(count("manifest", F.sum("chunks_count"))).unionByName(count("sections", rows))
+    )
+
+
+# German documents are newer in the last batch, French ones older in it, Spanish ones emptied.
+VERSIONS = chunk_sql.chunks().replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN 'New.' || chr(10) || text ELSE text END AS text FROM documents WHERE lang <> 'es'))")
+
+
+@query("stream_versions", VERSIONS + chunk_sql.INGESTED)
+def stream_versions(spark, sf):
+    """Three batches of documents with versions, the last one with late and emptied ones, through the append-only ingest."""
+    base = scratch_dir(spark, "versions")
+    schema = "doc_id bigint, text string, v bigint"
+    docs = table(spark, sf, "documents")
+    batches = [
+        docs.where("lang IN ('fr', 'es')").select("doc_id", "text", F.lit(5).cast("bigint").alias("v")),
+        docs.where("lang NOT IN ('fr', 'es')").select("doc_id", "text", F.lit(5).cast("bigint").alias("v")),
+        docs.where("lang <> 'en'").select(
+            "doc_id",
+            F.when(F.col("lang") == "es", " ").when(F.col("lang") == "de", F.concat(F.lit("New.\n"), "text")).otherwise("late").alias("text"),
+            F.when(F.col("lang") == "fr", 4).otherwise(6).cast("bigint").alias("v"),
+        ),
+    ]
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        ingest_versions(
+            stream, lambda rows: blocks_from_text(rows, "doc_id", "text"), f"{base}/points", f"{base}/state", "main", version=F.col("v"), buckets=8
+        ).awaitTermination()
+    found = point_versions(spark, f"{base}/points", 8).read("points")
+    return found.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+
+
 def read_stream_of(spark, sf, name, schema):
     """Stream over one table file of the sample folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(os.fspath(sf))

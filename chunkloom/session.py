@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one run, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back from there."""
     checkpoint_dir(df.sparkSession)
