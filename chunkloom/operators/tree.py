@@ -13,7 +13,7 @@ from ..functions.meta import page_end, page_start, sync_pages, without_image_key
 from ..functions.text import non_empty
 from ..session import cut_lineage
 from .chunking import Chunked
-from .scan import number_rows, page_ranges, ranges_of
+from .scan import number_rows, page_ranges, ranges_of, running
 
 KEY = ["doc_id", "section_id"]
 
@@ -34,30 +34,65 @@ def ancestors(sections: DataFrame) -> DataFrame:
     """Add ``path``: the ancestors of each section from nearest to farthest, below the root.
 
     Each entry is ``struct(id, title)``. ``reached`` tells whether the chain ends at the root; a missing
-    parent or a cycle ends it too. One join per level of depth; only unfinished rows go on.
+    parent or a cycle ends it too. Chains double in each round, so the rounds are the logarithm of the depth.
     """
     base = sections.join(roots(sections), "doc_id")
     base = cut_lineage(base.withColumn("is_root", F.col("section_id") == F.col("root_id")))
+    return base.join(climb(base)[0], KEY)
+
+
+def climb(base: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, section_id, path, reached) of sections with ``root_id`` and ``is_root``, and the rounds it took.
+
+    A round joins every open chain with the chain of the section it stops at: 1, 3, 7, ... sections are known. Only
+    open chains are written again.
+    """
     entry = F.struct(F.col("section_id").alias("id"), "title")
-    lookup = base.where(~F.col("is_root")).select(
-        "doc_id", F.col("section_id").alias("at"), entry.alias("entry"), F.col("parent_section_id").alias("above")
+    none = F.array().cast(base.select(F.array(entry).alias("path")).dtypes[0][1])
+    start = base.select(
+        *KEY, entry.alias("entry"), F.col("root_id"), F.when(~F.col("is_root"), non_empty("parent_section_id")).alias("at"), none.alias("path")
     )
-    empty = F.array().cast(lookup.select(F.array("entry")).dtypes[0][1])
-    start = base.select(*KEY, "root_id", F.when(~F.col("is_root"), non_empty("parent_section_id")).alias("at"), empty.alias("path"))
-    finished, active = [], start
-    while True:
-        to_root = F.col("at").isNull() | (F.col("at") == F.col("root_id"))
-        finished.append(active.where(to_root).select(*KEY, "path", F.col("at").isNotNull().alias("reached")))
-        step = active.where(~to_root).join(lookup, ["doc_id", "at"], "left")
-        seen = F.exists("path", lambda x: x["id"] == F.col("at")) | (F.col("at") == F.col("section_id"))
-        step = cut_lineage(step.withColumn("ends", F.col("entry").isNull() | seen))
-        finished.append(step.where("ends").select(*KEY, "path", F.lit(False).alias("reached")))
-        active = step.where("NOT ends").select(
-            *KEY, "root_id", non_empty("above").alias("at"), F.concat("path", F.array("entry")).alias("path")
+    at_root = F.col("at").isNull() | (F.col("at") == F.col("root_id"))
+    start = start.withColumns({"done": at_root, "reached": at_root & F.col("at").isNotNull()}).drop("root_id")
+    closed, active = [start.where("done")], cut_lineage(start.where("NOT done"))
+    rounds = 0
+    while not active.isEmpty():
+        rounds += 1
+        known = reduce(DataFrame.unionByName, [*closed, active]).select(
+            "doc_id", F.col("section_id").alias("at"), F.col("entry").alias("u_entry"), F.col("path").alias("u_path"), F.col("at").alias("u_at"),
+            F.col("done").alias("u_done"), F.col("reached").alias("u_reached"),
+        )
+        step = active.drop("done", "reached").join(known, ["doc_id", "at"], "left")
+        gone = F.col("u_entry").isNull()
+        longer = step.select(
+            *KEY, "entry", F.when(~gone, F.col("u_at")).alias("at"),
+            F.when(gone, F.col("path")).otherwise(F.concat("path", F.array("u_entry"), "u_path")).alias("path"),
+            (gone | F.col("u_done")).alias("done"), (~gone & F.col("u_reached")).alias("reached"),
+        )
+        # A chain that comes back to its section, or to one it has passed, is a cycle and is cut there.
+        ids = F.transform("path", lambda x: x["id"])
+        size = F.size("path")
+        turns = F.array_contains(ids, F.col("section_id")) | (F.size(F.array_distinct(ids)) < size) | F.coalesce(
+            F.array_contains(ids, F.col("at")) | (F.col("at") == F.col("section_id")), F.lit(False)
+        )
+        first_again = F.aggregate(
+            ids, F.struct(F.lit(0).alias("n"), F.array("section_id").alias("seen"), F.lit(True).alias("open")),
+            lambda s, x: F.when(s["open"] & ~F.array_contains(s["seen"], x), F.struct((s["n"] + 1).alias("n"), F.concat(s["seen"], F.array(x)).alias("seen"), F.lit(True).alias("open")))
+            .otherwise(F.struct(s["n"].alias("n"), s["seen"].alias("seen"), F.lit(False).alias("open"))),
+            lambda s: s["n"],
         )
-        if active.isEmpty():
-            break
-    return base.join(reduce(DataFrame.unionByName, finished), KEY)
+        turned = longer.withColumn("turns", turns & ~F.col("reached"))
+        turned = turned.withColumns(
+            {
+                "path": F.when(F.col("turns"), F.slice("path", F.lit(1), first_again)).otherwise(F.col("path")),
+                "done": F.col("done") | F.col("turns"),
+            }
+        ).drop("turns")
+        # Each round halves what is left of a chain, so open chains alone are stored anew.
+        stepped = cut_lineage(turned)
+        closed.append(stepped.where("done"))
+        active = stepped.where("NOT done")
+    return reduce(DataFrame.unionByName, closed).select(*KEY, "path", "reached"), rounds
 
 
 def rebuild(sections: DataFrame) -> DataFrame:
@@ -143,31 +178,49 @@ def reading_order(sections: DataFrame) -> DataFrame:
 
 
 def _reading_order(closed: DataFrame) -> DataFrame:
-    # Rank of each section among its siblings: page first, then listed order.
-    siblings = closed.select(
-        *KEY,
+    """Places by sizes of subtrees: a section comes after its parent and the subtrees of its earlier siblings.
+
+    The place is the sum of these offsets on the way from the root, so no window holds a document or a subtree; siblings
+    are summed in ranges.
+    """
+    way = F.concat(F.transform("path", lambda x: x["id"]), F.array("section_id"))
+    cut_off = F.when(F.col("is_root"), -1).when(F.col("reached") | non_empty("parent_section_id").isNull(), 0).otherwise(1)
+    rows = closed.select(
+        *KEY, "path", cut_off.alias("off"), way.alias("way"),
         F.coalesce(non_empty("parent_section_id"), F.col("root_id")).alias("family"),
-        F.coalesce("page_start", F.lit(1)).cast("bigint").alias("page"),
-        "section_pos",
+        F.coalesce("page_start", F.lit(1)).cast("bigint").alias("page"), "section_pos",
     )
-    ranked = number_rows(siblings, ["doc_id", "family"], ["page", "section_pos"], "rank", page_ranges("page", "section_pos"))
+    kept = rows.where("off = 0")
+    steps = cut_lineage(kept.select(*KEY, F.explode("way").alias("step")))
+    sizes = steps.groupBy("doc_id", F.col("step").alias("section_id")).agg(F.count("*").alias("size"))
+    siblings = kept.select(*KEY, "family", "page", "section_pos").join(sizes, KEY)
+    offsets = running(
+        siblings, ["doc_id", "family"], ["page", "section_pos"], {"before": ("sum", F.col("size"))}, page_ranges("page", "section_pos"), inclusive=False
+    ).select("doc_id", F.col("section_id").alias("step"), (F.col("before") + 1).alias("offset"))
+    placed = steps.join(offsets, ["doc_id", "step"]).groupBy(*KEY).agg(F.sum("offset").alias("section_no"))
+    found = placed.unionByName(rows.where("off = -1").select(*KEY, F.lit(0).cast("bigint").alias("section_no")))
+    lost = rows.where("off = 1")
+    if lost.isEmpty():
+        return found
+    return found.unionByName(_lost_order(lost, rows))
+
+
+def _lost_order(lost: DataFrame, rows: DataFrame) -> DataFrame:
+    """Places of sections cut off from the root, behind all others: by the ranks among siblings on the way to them."""
+    ranked = number_rows(lost, ["doc_id", "family"], ["page", "section_pos"], "rank", page_ranges("page", "section_pos"))
     ranked = ranked.select("doc_id", F.col("section_id").alias("step"), "rank")
-    # The ranks on the way from the root order the sections depth first.
-    way = F.concat(F.transform(F.reverse("path"), lambda x: x["id"]), F.array("section_id"))
-    cut_off = F.when(F.col("is_root"), -1).when(F.col("reached") | non_empty("parent_section_id").isNull(), 0).otherwise(1)
     keyed = (
-        closed.select(*KEY, cut_off.alias("off"), F.posexplode(way).alias("i", "step"))
+        lost.select(*KEY, F.posexplode(F.concat(F.reverse(F.transform("path", lambda x: x["id"])), F.array("section_id"))).alias("i", "step"))
         .join(ranked, ["doc_id", "step"])
-        .groupBy(*KEY, "off")
+        .groupBy(*KEY)
         .agg(F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("s"))
-        .select(*KEY, "off", F.transform("s", lambda x: x["rank"]).alias("steps"))
-    )
-    keyed = keyed.withColumns(
-        {"top": F.get("steps", F.lit(0)), "second": F.coalesce(F.get("steps", F.lit(1)), F.lit(0))}
+        .select(*KEY, F.transform("s", lambda x: x["rank"]).alias("steps"))
     )
-    ranges = [[F.col("off"), F.col("top"), ranges_of("second")[0]], [F.col("off"), ranges_of("top")[0]]]
-    numbered = number_rows(keyed, ["doc_id"], ["off", "steps", "section_id"], "n", ranges)
-    return numbered.select(*KEY, (F.col("n") - 1).alias("section_no"))
+    keyed = keyed.withColumns({"top": F.get("steps", F.lit(0)), "second": F.coalesce(F.get("steps", F.lit(1)), F.lit(0))})
+    ranges = [[F.col("top"), ranges_of("second")[0]], [ranges_of("top")[0]]]
+    numbered = number_rows(keyed, ["doc_id"], ["steps", "section_id"], "n", ranges)
+    before = rows.where("off < 1").groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return numbered.join(before, "doc_id").select(*KEY, (F.col("n") + F.col("kept") - 1).alias("section_no"))
 
 
 def sync_positions(rows: DataFrame, listed: DataFrame, id_column: str, position: str) -> DataFrame:

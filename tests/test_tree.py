@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from chunkloom.operators import edits, tree
 from chunkloom.operators.chunking import Chunked
 from chunkloom.schemas import CHILDREN, PARENTS, SECTIONS
@@ -95,3 +99,84 @@ def test_parents_follow_moved_sections(spark):
     assert [r.title for r in out.sections.orderBy("section_id").collect()] == ["Root", "B", "A"]
     assert [r.title for r in out.parents.orderBy("parent_chunk_id").collect()] == ["T2", "T1"]
     assert [r.text for r in out.children.orderBy("chunk_id").collect()] == ["t2", "t1"]
+
+
+def plain_climb(rows):
+    """{id: (path, reached)} by walking up; rows: (id, parent), the first is the root."""
+    up = dict(rows)
+    root = rows[0][0]
+    out = {}
+    for i, parent in rows:
+        path, at = [], None if i == root else parent
+        while at is not None and at != root and at in up and at not in path and at != i:
+            path.append(at)
+            at = up[at]
+        out[i] = (path, i != root and at == root)
+    return out
+
+
+def plain_order(rows, pages):
+    """{id: place}: depth first, siblings by page and listing; what is cut off behind, by sibling ranks and id."""
+    found = plain_climb(rows)
+    root = rows[0][0]
+    listed = {i: n for n, (i, _) in enumerate(rows)}
+    family = {i: p if p is not None else root for i, p in rows}
+    rank = {}
+    for f in set(family.values()):
+        own = sorted((i for i in family if family[i] == f and i != root), key=lambda i: (pages[i], listed[i]))
+        rank.update({i: n for n, i in enumerate(own)})
+    off = {i: -1 if i == root else 0 if found[i][1] or dict(rows)[i] is None else 1 for i in listed}
+    for f in set(family.values()):  # ranks count siblings of one kind
+        for kind in (0, 1):
+            own = sorted((i for i in family if family[i] == f and off[i] == kind), key=lambda i: (pages[i], listed[i]))
+            rank.update({i: n for n, i in enumerate(own)})
+    steps = {i: [rank.get(x, 0) for x in [*reversed(found[i][0]), i]] for i in listed}
+    return {i: n for n, i in enumerate(sorted(listed, key=lambda i: (off[i], steps[i], i)))}
+
+
+def table_of(spark, docs):
+    """docs: {doc: (rows, pages)}"""
+    data = [(d, i, n, i.upper(), 0 if n == 0 else 1, p, [], pages[i], pages[i]) for d, (rows, pages) in docs.items() for n, (i, p) in enumerate(rows)]
+    return spark.createDataFrame(data, SECTIONS)
+
+
+def test_random_trees_agree_with_walking(spark):
+    rng = random.Random(3)
+    docs = {}
+    for d in range(25):
+        ids = [f"r{d}_root"] + [f"x{k}" for k in range(rng.randrange(0, 14))]
+        rows = [(ids[0], None)]
+        for k, i in enumerate(ids[1:], 1):
+            above = [*ids[:k], ids[0]] if d % 3 else [*ids, "gone"]  # cycles and missing parents in every third
+            rows.append((i, rng.choice([x for x in above if x != i or d % 3 == 0])))
+        docs[f"d{d}"] = (rows, {i: rng.randrange(1, 4) for i in ids})
+    s = table_of(spark, docs)
+    got = {(r["doc_id"], r["section_id"]): ([x["id"] for x in r["path"]], r["reached"]) for r in tree.ancestors(s).collect()}
+    assert got == {(d, i): v for d, (rows, _) in docs.items() for i, v in plain_climb(rows).items()}
+    order = {(r["doc_id"], r["section_id"]): r["section_no"] for r in tree.reading_order(s).collect()}
+    assert order == {(d, i): n for d, (rows, pages) in docs.items() for i, n in plain_order(rows, pages).items()}
+
+
+def test_a_chain_of_a_thousand_takes_few_rounds(spark):
+    rows = [("root", None)] + [(f"c{k}", f"c{k - 1}" if k else "root") for k in range(1000)]
+    s = table_of(spark, {"d": (rows, {i: 1 for i, _ in rows})})
+    base = s.join(tree.roots(s), "doc_id").withColumn("is_root", F.col("section_id") == F.col("root_id"))
+    found, rounds = tree.climb(base)
+    assert rounds <= 12
+    got = {r["section_id"]: ([x["id"] for x in r["path"]], r["reached"]) for r in found.collect()}
+    assert got == plain_climb(rows)
+
+
+def test_many_sections_under_one_heading(spark):
+    n = 30_000
+    rows = spark.range(n).select(
+        F.lit("d").alias("doc_id"), F.format_string("s%05d", "id").alias("section_id"), F.col("id").alias("section_pos"), F.lit("t").alias("title"),
+        F.when(F.col("id") == 0, 0).otherwise(1).alias("level"),
+        F.when(F.col("id") == 0, F.lit(None)).when(F.col("id") == 1, "s00000").otherwise("s00001").alias("parent_section_id"),
+        F.array().cast("array<string>").alias("breadcrumbs"), (F.lit(n) - F.col("id")).cast("int").alias("page_start"), F.lit(1).alias("page_end"),
+    )
+    found = tree.reading_order(rows)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["section_id"]: r["section_no"] for r in found.collect()}
+    assert got["s00000"] == 0 and got["s00001"] == 1
+    assert all(got[f"s{k:05d}"] == n - k + 1 for k in range(2, n))
