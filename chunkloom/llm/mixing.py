@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, id_back, identity, stored, text_of, with_results
+from .common import WORD, fresh, id_back, identity, stored, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # of all sizes
@@ -166,8 +166,14 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
 
 def take_mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each once, with ``copies`` (1 or 2) added."""
+    """The rows of ``docs`` that the mix takes, each once, with ``copies`` (1 or 2) added.
+
+    Rows that repeat doc_id and text under different sources are told apart by their source.
+    """
     mixed, _ = copies(docs)
-    per_doc = mixed.groupBy("k_id", "k_text").agg(F.max("copies").alias("copies"))
-    out, (name,) = with_results(docs, per_doc, ["copies"])
-    return out.where(F.col(name) > 0)
+    taken = mixed.where("copies > 0").groupBy("k_id", "k_text", "source").agg(F.max("copies").alias("copies"))
+    keys = fresh(docs, "k_id", "k_text", "of_source", "copies")
+    left = docs.withColumns({keys[0]: identity()[0], keys[1]: identity()[1]})
+    right = taken.select(F.col("k_id").alias(keys[0]), F.col("k_text").alias(keys[1]), F.col("source").alias(keys[2]), F.col("copies").alias(keys[3]))
+    same = (left[keys[0]] == right[keys[0]]) & (left[keys[1]] == right[keys[1]]) & left["source"].cast("string").eqNullSafe(right[keys[2]])
+    return left.join(right, same).select(*[left[c] for c in docs.columns], right[keys[3]])

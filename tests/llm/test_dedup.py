@@ -20,17 +20,29 @@ def plain_exact(data):
     for doc_id, text in data:
         norm = re.sub(r"[\x20\x09-\x0D]", "", text or "")
         best = min(groups[norm])
-        kept = doc_id == best[3] and -len(text or "") == best[0]
-        out.append((doc_id, best[3], len(groups[norm]), kept, hashlib.sha256(norm.encode()).hexdigest()))
+        out.append((doc_id, best[3], len(groups[norm]), hashlib.sha256(norm.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
+def check_exact(docs, data, **options):
+    """All but ``kept`` by the plain version; of each group one row of the kept doc_id and the most code points stays."""
+    got = exact_dedup.exact_dedup(docs, **options).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == plain_exact(data)
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len({r["text_sha256"] for r in got}) == len({r["text_sha256"] for r in kept})
+    assert all(r["doc_id"] == r["keep_id"] for r in kept)
+
+
 def test_exact_dedup(messy, nothing):
-    got = [tuple(r) for r in exact_dedup.exact_dedup(messy, fan_in=2).collect()]
-    assert sorted(got, key=str) == plain_exact([r[:2] for r in rows()])
+    check_exact(messy, [r[:2] for r in rows()], fan_in=2)
     assert exact_dedup.exact_dedup(nothing).collect() == []
 
 
+def test_exact_dedup_keeps_one_of_ties(spark):
+    data = [(1, "a b"), (1, "a\tb"), (2, "ab"), (None, "x y"), (None, "x\ny"), (None, "x y"), (3, "same"), (3, "same"), (4, ""), (None, None)]
+    check_exact(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4), data)
+
+
 def plain_lines(data, min_words):
     docs = sorted({(LAST if d is None else d, t or "") for d, t in data})
     lines = {k: k[1].split("\n") for k in docs}
@@ -154,3 +166,22 @@ def test_jaccard_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join.verified_links, "__defaults__", (7,))
     got = [tuple(r) for r in jaccard_join.jaccard_report(spark.createDataFrame(data, "doc_id bigint, text string")).collect()]
     assert sorted(got, key=str) == plain_components(data)
+
+
+def test_long_words_are_told_apart(spark):
+    """Words of thousands of letters of which a polynomial modulo a power of two sees no difference."""
+    even = "a"
+    for _ in range(12):
+        even += even.translate(str.maketrans("ab", "ba"))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    data = [(d, " ".join(w[:n] for n in (1024, 2048, 4096))) for d, w in ((1, even), (2, odd), (3, even))]
+    report = jaccard_join.jaccard_report(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in report) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_repeated_rows_leave_one(spark):
+    text = lambda k: " ".join(f"k{k}w{i}" for i in range(60))
+    data = [(None, text(1), "a"), (None, text(1), "b"), (7, text(2), "a"), (7, text(2), "a"), (8, text(2) + " end", "a"), (None, None, "a"), (None, "", "b"), (9, " ", "a"), (9, " ", "a")]
+    kept = jaccard_join.drop_near_copies(spark.createDataFrame(data, "doc_id bigint, text string, source string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(None, text(1)), (7, text(2)), (None, None), (None, ""), (9, " "), (9, " ")], key=str)

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from chunkloom.llm import mixing
 
 from .conftest import PASSAGE
 from .test_dedup import LAST, plain_lines, plain_sets
@@ -65,3 +66,26 @@ def test_rows_of_stage(spark, tmp_path, stage, plain):
     got = Counter((r["doc_id"], r["text"]) for r in STAGES[stage](spark, docs, str(tmp_path)).collect())
     want = Counter(plain(DATA))
     assert got == want and 0 < len(want) and want != Counter(DATA)
+
+
+def test_mix_tells_sources_apart(spark, tmp_path):
+    """A row is taken as often as the mix reports for its source, also if doc_id and text repeat under another."""
+    data = [(1, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", None), (None, "d e", "y"), (2, "f", "x"), (3, "", "x")]
+    data += [(10 + i, text(i, 20), ("x", "y", "z", None)[i % 4]) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3)
+    report = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        if r["copies"]:
+            report[(r["doc_id"], r["size"], r["source"], r["copies"])] += 1
+    taken = STAGES["mixing"](spark, docs, str(tmp_path))
+    assert taken.columns == [*docs.columns, "copies"]
+    got = Counter((r["doc_id"], len(r["text"].split()), r["source"], r["copies"]) for r in taken.collect())
+    assert got == report
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_stages_on_empty_tables(spark, tmp_path, stage):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert STAGES[stage](spark, docs, str(tmp_path)).collect() == []
