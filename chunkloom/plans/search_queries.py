@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index as ix
 from ..operators import search
+from ..operators.inverted import build_inverted, stored_sparse_top
 from ..operators.encode import document_vector, normalized, postings, query_vector, words
 from ..operators.refine import refine
 from ..operators.cleanup import clean_documents, document_store, store_documents
@@ -93,6 +94,14 @@ def sparse_topk(spark, sf):
     return search.sparse_top(questions(spark, sf), points(spark, sf), 20)
 
 
+@query("stored_sparse_topk", f"WITH {SCORES} SELECT item_id AS query_id, doc_id::VARCHAR AS chunk_id, score, rank::INT AS rank FROM sr WHERE rank <= 20")
+def stored_sparse_topk(spark, sf):
+    """The same from a stored inverted index, without scoring all blocks."""
+    path = scratch_dir(spark, "inverted")
+    build_inverted(points(spark, sf), path, block_rows=64)
+    return stored_sparse_top(questions(spark, sf), path, 20)
+
+
 @query("dense_topk", f"WITH {DENSE} SELECT item_id AS query_id, doc_id::VARCHAR AS chunk_id, score, rank::INT AS rank FROM dr WHERE rank <= 20")
 def dense_topk(spark, sf):
     return search.dense_top(questions(spark, sf), points(spark, sf), 20)
@@ -282,6 +291,46 @@ def index_job(spark, sf):
     return job.manifest.drop("indexed_at").join(F.broadcast(report))  # the report is one row
 
 
+JOB_VECTOR = "[length(text)::DOUBLE, length(text) - length(replace(text, 'a', '')), 1]"
+UNIT = "list_transform({0}, lambda x: (x / sqrt(list_inner_product({0}, {0})))::FLOAT::DOUBLE)"
+
+
+@query(
+    "search_job",
+    f""", a AS (SELECT chunk_id, text FROM children WHERE NOT is_ignored),
+       tok AS (SELECT chunk_id, {TOKENS.format('text')} AS t FROM a),
+       post AS (SELECT chunk_id, {HASH.format('t')} AS idx, max(round(1 + ln(c), 4)) AS val
+                FROM (SELECT chunk_id, t, count(*) AS c FROM tok GROUP BY ALL) GROUP BY ALL),
+       idf AS (SELECT idx, ln(1 + ((SELECT count(*) FROM a) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM post GROUP BY 1),
+       qt AS (SELECT DISTINCT item_id, {HASH.format('t')} AS idx FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark)),
+       ss AS (SELECT item_id, chunk_id, round(sum(idf * val), 9) AS score FROM qt JOIN idf USING (idx) JOIN post USING (idx) GROUP BY ALL),
+       v AS (SELECT chunk_id, {JOB_VECTOR} AS e FROM a), vu AS (SELECT chunk_id, {UNIT.format('e')} AS e FROM v),
+       q AS (SELECT item_id, {JOB_VECTOR} AS e FROM benchmark), qu AS (SELECT item_id, {UNIT.format('e')} AS e FROM q),
+       ds AS (SELECT item_id, chunk_id, round(list_inner_product(vu.e, qu.e) / sqrt(list_inner_product(vu.e, vu.e) * list_inner_product(qu.e, qu.e)), 9) AS score
+              FROM qu, vu),
+       r AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM ss QUALIFY rank <= 20
+             UNION ALL
+             SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 20),
+       f AS (SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM r GROUP BY ALL),
+       t AS (SELECT item_id, chunk_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id))::INT AS rank FROM f QUALIFY rank <= 10)
+       SELECT item_id AS query_id, chunk_id, c.doc_id, c.text, round(score, 6) AS score, rank FROM t JOIN children c USING (chunk_id)""",
+    lines=True,
+)
+def search_job(spark, sf):
+    """An index of two collections on disk, written by the index job; benchmark texts are searched in one of them."""
+    path = scratch_dir(spark, "index")
+    c = line_chunks(spark, sf)
+    encode = lambda texts: [[float(len(t)), float(t.count("a")), 1.0] for t in texts]
+    for name in ("main", "other"):
+        ix.create_collection(spark, path, name)
+    main = ix.index_job(ix.read_index(spark, path), c.children, c.parents, "main", encode=encode).points
+    other = main.where(F.col("char_length") > 100).withColumn("collection", F.lit("other"))
+    main.unionByName(other).write.mode("append").partitionBy("collection").parquet(path)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = search.search_texts(asked, ix.read_index(spark, path), encode, 3, collection="main")
+    return hits.select("query_id", "chunk_id", "doc_id", "text", "score", "rank")
+
+
 @query("stream_ingest", chunk_sql.chunks() + chunk_sql.INGESTED)
 def stream_ingest(spark, sf):
     """All documents through the streaming ingest into a fresh index; chunks and tokens per document."""
