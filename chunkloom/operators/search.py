@@ -16,7 +16,9 @@ from .encode import Encoder, postings, query_dense, query_vector, words
 RRF_K = 60
 SALTS = 32  # postings of one token are spread over this many tasks
 BROADCAST_ROWS = 100_000  # query terms up to this count are broadcast
-QUERY_BLOCK = 2048  # query vectors scored in one pass over the index
+QUERY_BLOCK = 2048  # query vectors scored at a time, about half as many
+QUERY_BYTES = 64_000_000  # of query vectors sent to the tasks for one pass over the index
+TASK_GROUPS = 64  # groups of tasks whose best rows are merged first
 SCORES_AT_ONCE = 2_000_000  # scores of rows by queries that a task holds
 SCORE_DIGITS = 9  # scores closer than this are ties, broken by chunk id
 
@@ -97,7 +99,7 @@ def sparse_top(queries: DataFrame, index: DataFrame, limit: int, corpus: DataFra
     for b in range(blocks):
         block = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else terms
         found = found.unionByName(rows.mapInPandas(_best_sparse(block.toPandas(), limit), schema))
-    return top_per_query(found, limit)
+    return merged_top(found, limit)
 
 
 def _best(names: np.ndarray, scores: np.ndarray, limit: int) -> np.ndarray:
@@ -150,57 +152,69 @@ def _best_sparse(terms: pd.DataFrame, limit: int):
     return run
 
 
-def _best_in_partition(ids: list, matrix: np.ndarray, limit: int):
-    """Function over batches of (chunk_id, dense): the best rows of the partition per query."""
+def _best_in_partition(sent, limit: int, block: int):
+    """Function over batches of (chunk_id, dense): the best rows of the partition per query of (ids, matrix) in ``sent``.
+
+    The rows of a batch are read once and scored against all queries, ``block`` of them at a time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = sent.value
         kept: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], dtype=str), np.array([])) for _ in ids]
         for pdf in batches:
             if pdf.empty:
                 continue
             rows = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["dense"]])
             norm = np.linalg.norm(rows, axis=1, keepdims=True)
-            scores = np.round((rows / np.where(norm == 0, 1, norm)) @ matrix.T, SCORE_DIGITS)
+            rows = rows / np.where(norm == 0, 1, norm)
             names = pdf["chunk_id"].to_numpy(dtype=str)
-            for q in range(len(ids)):
-                near = _best(names, scores[:, q], limit)
-                n = np.concatenate([kept[q][0], names[near]])
-                s = np.concatenate([kept[q][1], scores[near, q]])
-                pick = _best(n, s, limit)
-                kept[q] = (n[pick], s[pick])
-        for q, (n, s) in zip(ids, kept):
+            for s in range(0, len(ids), block):
+                scores = np.round(rows @ matrix[s : s + block].T, SCORE_DIGITS)
+                for q in range(scores.shape[1]):
+                    near = _best(names, scores[:, q], limit)
+                    n = np.concatenate([kept[s + q][0], names[near]])
+                    v = np.concatenate([kept[s + q][1], scores[near, q]])
+                    pick = _best(n, v, limit)
+                    kept[s + q] = (n[pick], v[pick])
+        for q, (n, v) in zip(ids, kept):
             if len(n):
-                yield pd.DataFrame({"query_id": [q] * len(n), "chunk_id": n, "score": s})
+                yield pd.DataFrame({"query_id": [q] * len(n), "chunk_id": n, "score": v})
 
     return run
 
 
+def merged_top(found: DataFrame, limit: int) -> DataFrame:
+    """The best rows per query of what tasks kept: groups of tasks first, then the groups, so no task reads all of a query."""
+    part = Window.partitionBy("query_id", "__tasks").orderBy(F.desc("score"), "chunk_id")
+    grouped = found.withColumn("__tasks", F.spark_partition_id() % TASK_GROUPS)
+    first = grouped.withColumn("__rank", F.row_number().over(part)).where(F.col("__rank") <= limit).drop("__rank", "__tasks")
+    return top_per_query(first, limit)
+
+
 def dense_top(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """Best ``limit`` chunks per query by exact cosine.
 
-    Query vectors go to the tasks in blocks of bounded size; each task reads its rows once per block and
-    returns only its best rows per query, so no pair of query and chunk is ever written out.
-    Queries without a vector, or with the zero vector, have no dense candidates.
+    Query vectors go to the tasks together, up to ``QUERY_BYTES``, and are scored in blocks while the index is read once;
+    only more than that takes another pass. Each task returns only its best rows per query, so no pair of query and
+    chunk is ever written out. Queries without a vector, or with the zero vector, have no dense candidates.
     """
     usable = queries.where(F.exists("dense", lambda x: x != 0)).select("query_id", "dense")
-    blocks = -(-usable.count() // (QUERY_BLOCK // 2)) or 1
+    size, widest = usable.agg(F.count("*"), F.max(F.size("dense"))).first()
+    passes = -(-size * (widest or 0) * 8 // QUERY_BYTES) or 1
     vectors = index.where(F.col("dense").isNotNull()).select(F.col("chunk_id").cast("string").alias("chunk_id"), "dense")
     id_type = dict(queries.dtypes)["query_id"]
-    found = None
-    for b in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else usable.collect()
-        if not rows:
+    schema = f"query_id {id_type}, chunk_id string, score double"
+    found = index.sparkSession.createDataFrame([], schema)
+    for b in range(passes):
+        part = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b) if passes > 1 else usable
+        rows = part.toPandas()
+        if rows.empty:
             continue
-        matrix = np.array([list(r.dense) for r in rows], dtype=np.float64)
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        part = vectors.mapInPandas(
-            _best_in_partition([r.query_id for r in rows], matrix, limit),
-            f"query_id {id_type}, chunk_id string, score double",
-        )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.sparkSession.createDataFrame([], f"query_id {id_type}, chunk_id string, score double")
-    return top_per_query(found, limit)
+        matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in rows["dense"]])
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        sent = index.sparkSession.sparkContext.broadcast((rows["query_id"].tolist(), matrix))
+        found = found.unionByName(vectors.mapInPandas(_best_in_partition(sent, limit, max(1, QUERY_BLOCK // 2)), schema))
+    return merged_top(found, limit)
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:

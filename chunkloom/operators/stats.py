@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,16 +170,66 @@ _DIFF = (
 )
 
 
+def _common_counts(a: list[int], b: list[int]) -> np.ndarray:
+    """For each j the length of the longest common subsequence of ``a`` and the first j of ``b``.
+
+    Bit j of a number stands for b[j]; a step per element of ``a`` moves all of them at once.
+    """
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])  # zeros are where the length grows
+
+
+def common_tokens(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence, in order.
+
+    Common ends are cut; the rest is halved where both halves have most in common, which takes memory in proportion to
+    the texts.
+    """
+    out: list[tuple[int, int]] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        i, k, j, m = work.pop()
+        while i < k and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[k - 1] == b[m - 1]:
+            k, m = k - 1, m - 1
+            out.append((k, m))
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            if a[i] in b[j:m]:
+                out.append((i, b.index(a[i], j, m)))
+            continue
+        half = (i + k) // 2
+        before = _common_counts(a[i:half], b[j:m])
+        behind = _common_counts(a[half:k][::-1], b[j:m][::-1])
+        cut = int(np.argmax(before + behind[::-1]))
+        work += [(i, half, j, j + cut), (half, k, j + cut, m)]
+    return sorted(out)
+
+
 def _word_diff(before: str | None, after: str | None) -> dict[str, int]:
-    a, b = (re.findall(r"\s+|\w+|[^\w\s]", t or "") for t in (before, after))
-    added = removed = segments = 0
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op != "equal":
-            gone, new = sum(map(len, a[i:j])), sum(map(len, b[k:m]))
-            removed += gone
-            added += new
-            segments += (gone > 0) + (new > 0)
-    return {"added_chars": added, "removed_chars": removed, "modified_segments": segments}
+    texts = [re.findall(r"\s+|\w+|[^\w\s]", t or "") for t in (before, after)]
+    numbers: dict[str, int] = {}
+    a, b = ([numbers.setdefault(w, len(numbers)) for w in t] for t in texts)
+    matched = common_tokens(a, b)
+    segments = 0
+    last = (-1, -1)
+    for i, j in [*matched, (len(a), len(b))]:
+        segments += (i - last[0] > 1) + (j - last[1] > 1)
+        last = i, j
+    same = sum(len(texts[0][i]) for i, _ in matched)
+    gone, new = (sum(map(len, t)) - same for t in texts)
+    return {"added_chars": new, "removed_chars": gone, "modified_segments": segments}
 
 
 @F.pandas_udf(_DIFF)

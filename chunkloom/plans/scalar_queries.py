@@ -10,7 +10,8 @@ from ..functions.tables import table_rows, table_search_text
 from ..operators.encode import words
 from ..operators.stats import diff_stats
 from ..sources.artifacts import best_match, describe_artifacts
-from ..sources.blocks import blocks_from_html, blocks_from_json
+from ..operators.chunking import chunk_blocks
+from ..sources.blocks import blocks_from_html, blocks_from_json, parse_errors
 from . import chunk_sql
 from .tables import TOKENS, table
 
@@ -343,6 +344,27 @@ def flat_blocks(spark, sf):
     return blocks_from_json(raw).select("doc_id", "block_no", "page_number", "block_type", "text")
 
 
+@query(
+    "parse_errors",
+    """
+    SELECT doc_id::VARCHAR AS doc_id, CASE lang WHEN 'fr' THEN 'not a list of blocks' WHEN 'de' THEN 'empty' WHEN 'es' THEN 'no blocks' END AS error,
+           1::BIGINT AS sections, (lang = 'en' AND regexp_matches(text, '\\S'))::BOOLEAN AS has_chunks FROM documents""",
+)
+def parse_errors_query(spark, sf):
+    """Documents as flat parse results: French ones are cut off, German ones blank, Spanish ones lists without blocks."""
+    d = table(spark, sf, "documents")
+    whole = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text", F.lit(0).alias("page_idx"))))
+    json = F.when(F.col("lang") == "fr", F.expr("substring(j, 1, length(j) - 3)")).when(F.col("lang") == "de", " ").when(F.col("lang") == "es", "[]").otherwise(F.col("j"))
+    doc = F.col("doc_id").cast("string")
+    raw = d.withColumn("j", whole).select(doc.alias("doc_id"), doc.alias("doc_title"), F.lit("general").alias("strategy"), json.alias("json"))
+    blocks = blocks_from_json(raw)
+    chunked = chunk_blocks(blocks)
+    sections = chunked.sections.groupBy("doc_id").agg(F.count("*").alias("sections"))
+    held = chunked.children.select("doc_id").distinct().withColumn("has_chunks", F.lit(True))
+    rows = sections.join(parse_errors(blocks).select("doc_id", "error"), "doc_id", "left").join(held, "doc_id", "left")
+    return rows.select("doc_id", "error", "sections", F.coalesce("has_chunks", F.lit(False)).alias("has_chunks"))
+
+
 ARTIFACTS = """
     SELECT page_id, '/out/mineru_pipeline_' || CASE WHEN page_id % 3 = 0 THEN 'ocr' ELSE 'txt' END || '_x/'
            || replace(substr(url, 8), '/', '-') || '/auto/' || replace(substr(url, 8), '/', '-') || '_content_list'
@@ -392,3 +414,19 @@ def refine_diff(spark, sf):
     """Differences between each answer and the same answer with its lines joined."""
     c = table(spark, sf, "conversations").withColumn("refined", tx.embedding_text("text"))
     return diff_stats(c, "text", "refined").drop("text", "refined", "role")
+
+
+@query(
+    "refine_totals",
+    """
+    SELECT doc_id, length(text)::INT AS original_chars, length(r)::INT AS refined_chars, (length(r) - length(text))::INT AS char_delta,
+           (length(r) - length(text))::INT AS net, (r <> text)::INT AS changed
+    FROM (SELECT doc_id, text, replace(replace(text, ' the ', ' a new '), ' de ', ' ') AS r FROM documents)""",
+)
+def refine_totals(spark, sf):
+    """Whole documents against copies with some words replaced and others removed: sizes and net change."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = d.withColumn("refined", F.replace(F.replace("text", F.lit(" the "), F.lit(" a new ")), F.lit(" de "), F.lit(" ")))
+    rows = diff_stats(d, "text", "refined")
+    net, changed = F.col("added_chars") - F.col("removed_chars"), (F.col("modified_segments") > 0).cast("int")
+    return rows.select("doc_id", "original_chars", "refined_chars", "char_delta", net.alias("net"), changed.alias("changed"))

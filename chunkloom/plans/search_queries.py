@@ -15,7 +15,7 @@ from ..operators import index as ix
 from ..operators import search
 from ..operators.inverted import build_inverted, stored_sparse_top
 from ..operators.encode import document_vector, normalized, postings, query_vector, words
-from ..operators.refine import refine
+from ..operators.refine import refine, refine_once
 from ..operators.cleanup import clean_documents, document_store, store_documents
 from ..session import checkpoint_dir, cut_lineage, scratch_dir
 from ..sources.artifacts import mark_indexed
@@ -220,6 +220,19 @@ def indexed_flags(spark, sf):
     return mark_indexed(p.select(F.col("url").alias("name")).distinct(), known)
 
 
+@query(
+    "refined_once",
+    "SELECT conv_id::VARCHAR AS doc_id, turn::VARCHAR AS chunk_id, trim(lower(text)) AS refined_text, length(text)::INT AS original_chars FROM conversations",
+)
+def refined_once(spark, sf):
+    """The same through the store of answers, in two runs: one over the questions of users, one over all turns."""
+    path = scratch_dir(spark, "answers")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("string").alias("chunk_id"), "text", "role")
+    ask = lambda prompt, text: f"```text\n{text.lower()}\n```"
+    refine_once(c.where("role = 'user'"), ask, path)
+    return refine_once(c, ask, path).select("doc_id", "chunk_id", "refined_text", "original_chars")
+
+
 @query("refined_texts", "SELECT conv_id::VARCHAR AS doc_id, turn::VARCHAR AS chunk_id, trim(lower(text)) AS refined_text, length(text)::INT AS original_chars FROM conversations")
 def refined_texts(spark, sf):
     c = table(spark, sf, "conversations").select(

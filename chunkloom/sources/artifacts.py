@@ -6,12 +6,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import col
+from ..session import cut_lineage
 
 MIN_PREFIX = 10
 SUFFIX = r"_content_list(_v2)?\.json$"
@@ -61,28 +63,95 @@ def plain_path(path: Column | str) -> Column:
 def best_match(names: DataFrame, targets: DataFrame, rank: Column) -> DataFrame:
     """For each ``name`` the best target by ``rank``: equal names, or one a prefix of the other.
 
-    Prefix matches need a target ``key`` of at least 10 characters. Prefixes are spelled out and joined by
-    equality; targets are reduced to the best per prefix first, so a prefix shared by many names stays small.
+    Prefix matches need a target ``key`` of at least 10 characters. Names and keys are sorted once; what a string is a
+    prefix of follows it in a row, so a sweep over each range finds both kinds of match with a row per name and key.
     """
-    n = names.select("name").distinct()
+    n = names.select("name").where("name IS NOT NULL").distinct()
     t = targets.select("key", rank.alias("__r"))
     exact = t.groupBy("key").agg(F.max("__r").alias("best"))
-    long = exact.where(F.length("key") >= MIN_PREFIX)
+    equal = n.join(exact, n["name"] == exact["key"]).select("name", "best")
+    kind = dict(exact.dtypes)["best"]
+    items = n.where("name <> ''").select(F.col("name").alias("s"), F.lit(True).alias("is_name"), F.lit(None).cast(kind).alias("best")).unionByName(
+        exact.where(F.length("key") >= MIN_PREFIX).select(F.col("key").alias("s"), F.lit(False).alias("is_name"), "best")
+    )
+    placed = cut_lineage(items.repartitionByRange("s").sortWithinPartitions("s", "is_name").withColumn("part", F.spark_partition_id()))
+    # A string of an earlier range that is a prefix of one in this range is a prefix of the first one in it.
+    heads = placed.groupBy("part").agg(F.min("s").alias("head"))
+    spelled = heads.select("part", F.explode(F.transform(F.sequence(F.lit(1), F.length("head") - 1), lambda i: F.substring("head", F.lit(1), i))).alias("s")).where("s <> ''")
+    above = spelled.join(placed.select("s", "is_name", "best"), "s")
+    # As many rows as a range's first string has letters, for each range.
+    open_before: dict[int, list[tuple[str, bool, object]]] = {}
+    for r in above.collect():
+        open_before.setdefault(r["part"], []).append((r["s"], r["is_name"], _plain(r["best"])))
+    swept = placed.mapInArrow(_sweep(open_before), f"name string, best {kind}")
+    return equal.unionByName(swept).groupBy("name").agg(F.max("best").alias("best"))
 
-    def prefixes(column: str, shortest: int) -> Column:
-        length = F.length(column)
-        return F.when(
-            length >= shortest, F.transform(F.sequence(F.lit(shortest), length), lambda i: F.substring(F.col(column), F.lit(1), i))
-        )
 
-    equal = n.join(exact, n["name"] == exact["key"]).select("name", "best")
-    # The target is a prefix of the name.
-    spelled = n.select("name", F.explode(prefixes("name", MIN_PREFIX)).alias("key"))
-    shorter = spelled.join(long, "key").select("name", "best")
-    # The name is a prefix of the target.
-    by_prefix = long.select(F.explode(prefixes("key", 1)).alias("name"), "best").groupBy("name").agg(F.max("best").alias("best"))
-    longer = n.join(by_prefix, "name").select("name", "best")
-    return equal.unionByName(shorter).unionByName(longer).groupBy("name").agg(F.max("best").alias("best"))
+def _plain(value):
+    """Rows as dictionaries, as Arrow gives structs."""
+    return {k: _plain(v) for k, v in value.asDict(recursive=False).items()} if isinstance(value, Row) else value
+
+
+def _order(value) -> tuple:
+    """A key that sorts values and structs of one type as Spark does, null first."""
+    if value is None:
+        return (0,)
+    return (1, tuple(map(_order, value.values()))) if isinstance(value, dict) else (1, value)
+
+
+def _better(a, b):
+    return a if b is None or (a is not None and _order(a) >= _order(b)) else b
+
+
+def _sweep(open_before: dict[int, list[tuple[str, bool, object]]]):
+    """Function over a sorted range of (s, is_name, best, part): the best keys that are prefixes of, or begin with, a name.
+
+    Open strings are a stack in which each is a prefix of the next: (s, is_name, carried in, best key up to here, best key
+    that begins with it).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[list] = []
+        found: list[tuple[str, object]] = []
+        begun = False
+        kind = None
+
+        def close() -> None:
+            s, is_name, carried, chain, inside = stack.pop()
+            if is_name:
+                best = inside if carried else _better(chain, inside)
+                if best is not None:
+                    found.append((s, best))
+            if stack:
+                stack[-1][4] = _better(stack[-1][4], inside)
+
+        def open_(s: str, is_name: bool, best: object, carried: bool) -> None:
+            chain = stack[-1][3] if stack else None
+            stack.append([s, is_name, carried, chain if is_name else _better(chain, best), None if is_name or carried else best])
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([b for _, b in found], kind)], names=["name", "best"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            kind = batch.schema.field("best").type
+            rows = zip(*(batch.column(c).to_pylist() for c in ("s", "is_name", "best", "part")))
+            for s, is_name, best, part in rows:
+                if not begun:
+                    begun = True
+                    for before in sorted(open_before.get(part, []), key=lambda x: len(x[0])):
+                        open_(*before, True)
+                while stack and not s.startswith(stack[-1][0]):
+                    close()
+                open_(s, is_name, best, False)
+            yield batch_of()
+        while stack:
+            close()
+        if found:
+            yield batch_of()
+
+    return run
 
 
 def latest_artifacts(docs: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +92,50 @@ def test_word_diff(spark):
     assert rows[1].modified_segments == 0 and rows[0].removed_chars == 3
 
 
+def test_refine_asks_once(spark, tmp_path):
+    """Equal texts are one question, and a second run asks for new and failed texts only."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompt, text):
+        calls.add(1)
+        if text == "bad":
+            raise RuntimeError("no answer")
+        return f"{prompt[:1]}:{text.upper()}"
+
+    df = spark.createDataFrame([("d", "1", "good"), ("d", "2", "bad"), ("e", "3", "good"), ("e", "4", None)], "doc_id string, chunk_id string, text string")
+    path = str(tmp_path / "answers")
+    rows = lambda found: {r.chunk_id: (r.refined_text, r.error) for r in found.collect()}
+    first = rows(refine.refine_once(df, model, path, "Prompt"))
+    assert first == {"1": ("P:GOOD", None), "2": (None, "no answer"), "3": ("P:GOOD", None), "4": ("P:", None)}
+    assert calls.value == 3
+    again = df.where("chunk_id <> '2'")
+    assert rows(refine.refine_once(again, model, path, "Prompt")) == {k: v for k, v in first.items() if k != "2"}
+    assert calls.value == 3  # a rerun makes no call
+    refine.refine_once(df, model, path, "Prompt").collect()
+    assert calls.value == 4  # the failed text only
+    refine.refine_once(again, model, path, "Other prompt").collect()
+    assert calls.value == 6
+
+
+def test_word_diff_is_minimal_and_fast():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = stats.common_tokens(a, b)
+        assert len(found) == table[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+    words = [str(rng.randrange(5000)) for _ in range(20_000)]
+    other = [w if rng.random() < 0.9 else "new" for w in words]
+    began = time.process_time()
+    d = stats._word_diff(" ".join(words), " ".join(other))
+    assert time.process_time() - began < 5
+    assert d["added_chars"] - d["removed_chars"] == len(" ".join(other)) - len(" ".join(words))
+
+
 def test_stream_replaces_documents(spark, tmp_path):
     schema = "doc_id string, text string, v int"
     src, path = str(tmp_path / "in"), str(tmp_path / "index")

@@ -139,3 +139,14 @@ def test_idf_of_the_whole_collection(spark):
     scores = {r.chunk_id: r.score for r in search.sparse_scores(q, part, corpus=points).collect()}
     want = math.log(1 + 6.5 / 3.5) + math.log(1 + 0.5 / 9.5)
     assert scores == {"c0": round(want, 9), "c1": round(want, 9)}
+
+
+def test_dense_top_in_several_passes(spark, monkeypatch):
+    """More query vectors than one pass takes give the same rows."""
+    points, _ = corpus(spark)
+    q = spark.createDataFrame([(i, [float(i - 2), 1.0, 0.5, -1.0]) for i in range(9)], "query_id int, dense array<float>")
+    rows = lambda: sorted(map(str, search.dense_top(q, points.repartition(3), 5).collect()))
+    one = rows()
+    monkeypatch.setattr(search, "QUERY_BYTES", 3 * 4 * 8)
+    monkeypatch.setattr(search, "TASK_GROUPS", 2)
+    assert rows() == one and len(one) == 45

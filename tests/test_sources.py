@@ -1,9 +1,15 @@
+import random
+
+from pyspark.sql import functions as F
+
 import json
 import unicodedata
 
 from chunkloom.operators.chunking import chunk_blocks
 from chunkloom.sources.artifacts import best_match, describe_artifacts, latest_artifacts, list_artifacts, nfc, read_artifacts
-from chunkloom.sources.blocks import blocks_from_json, broken_results
+from chunkloom.operators.chunking import chunk_blocks
+from chunkloom.sources.artifacts import best_match
+from chunkloom.sources.blocks import blocks_from_json, broken_results, parse_errors
 from pyspark.sql import functions as F
 
 
@@ -113,3 +119,38 @@ def test_broken_results_are_told(spark):
     rows = [("ok", "[]"), ("flat", '[{"type": "text", "text": "x", "page_idx": 0}]'), ("cut", '[{"type": "text", "te'), ("none", None), ("blank", " "), ("object", '{"a": 1}')]
     raw = spark.createDataFrame([(d, d, "general", j) for d, j in rows], "doc_id string, doc_title string, strategy string, json string")
     assert {r.doc_id: r.error for r in broken_results(raw).collect()} == {"cut": "not a list of blocks", "none": "empty", "blank": "empty", "object": "not a list of blocks"}
+
+
+def test_unreadable_results_keep_their_documents(spark):
+    good = '[{"type":"text","text":"fine","page_idx":0}]'
+    cases = {"good": good, "cut": good[:-8], "none": None, "blank": " \n", "object": '{"a": 1}', "list": "[]", "pages": "[[]]", "words": "not json"}
+    raw = spark.createDataFrame([(k, k.upper(), "general", v) for k, v in cases.items()], "doc_id string, doc_title string, strategy string, json string")
+    found = blocks_from_json(raw)
+    errors = {r.doc_id: (r.doc_title, r.error) for r in parse_errors(found).collect()}
+    unread = "not a list of blocks"
+    reasons = {"cut": unread, "none": "empty", "blank": "empty", "object": unread, "list": "no blocks", "pages": "no blocks", "words": unread}
+    assert errors == {k: (k.upper(), v) for k, v in reasons.items()}
+    chunked = chunk_blocks(found)
+    assert {r.doc_id for r in chunked.sections.collect()} == set(cases)
+    assert [(r.doc_id, r.text) for r in chunked.children.collect()] == [("good", "fine")]
+
+
+def test_prefix_sweep_agrees_with_trying_all(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(0, 16)))
+    names = [(word(),) for _ in range(300)] + [(None,), ("",), ("é" * 12,), ("é" * 11 + "x",)]
+    targets = [(word(), rng.randrange(1000)) for _ in range(200)] + [("é" * 11, 5), ("a" * 30, None), (None, 3)]
+    n = spark.createDataFrame(names, "name string").repartition(3)
+    t = spark.createDataFrame(targets, "key string, r int").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {r.name: r.best and (r.best.r, r.best.key) for r in best_match(n, t, F.struct("r", "key")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    want = {}
+    for (name,) in names:
+        fit = [(-1 if r is None else r, k, r) for k, r in targets if name is not None and k is not None and (name == k or len(k) >= 10 and name and (k.startswith(name) or name.startswith(k)))]
+        if fit:
+            best = max(fit)
+            want[name] = (best[2], best[1])
+    assert got == want and len(want) > 50
