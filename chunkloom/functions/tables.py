@@ -129,6 +129,10 @@ def table_search_text(
     return strip(F.array_join(F.concat(body, tail), "\n"))
 
 
+ENDS_TABLE = ("p", "div", "section", "article", "ul", "ol", "blockquote", "footer", "nav", "h1", "h2", "h3", "h4", "h5", "h6")
+HEAD_ELEMENTS = ("base", "link", "meta", "noscript", "script", "style", "template", "title")
+
+
 def _page_blocks(html: str | None) -> list[dict]:
     """Headings, paragraphs, list items and tables of one HTML page, in order."""
     blocks: list[dict] = []
@@ -144,12 +148,26 @@ def _page_blocks(html: str | None) -> list[dict]:
         state.update(kind=kind, level=level)
 
     table: list[str] = []
+    in_head = in_cell = False
     for kind, value in _events(html) if html else ():
-        if value in ("script", "style", "head") and kind != "text":
+        if kind != "text" and value == "head":
+            in_head = kind == "open"
+            continue
+        if in_head and kind == "open" and value not in HEAD_ELEMENTS:  # a head without its end tag
+            in_head = False
+        if value in ("script", "style") and kind != "text":
             hidden = max(0, hidden + (1 if kind == "open" else -1))
-        elif hidden:
             continue
-        elif kind != "text" and value == "table":
+        if in_head or hidden:
+            continue
+        if value in ("td", "th", "tr") and kind != "text":
+            in_cell = kind == "open" and value != "tr"
+        elif depth and not in_cell and kind == "open" and value in ENDS_TABLE:  # a table without its end tag
+            table.append("</table>" * depth)
+            blocks.append({"block_type": "table", "level": None, "text": None, "html": "".join(table)})
+            table.clear()
+            depth = 0
+        if kind != "text" and value == "table":
             if kind == "open":
                 if depth == 0:
                     close()
@@ -171,6 +189,8 @@ def _page_blocks(html: str | None) -> list[dict]:
             close(*(("title", int(value[1])) if kind == "open" else ()))
         elif value in ("p", "li", "div", "ul", "ol", "section", "article", "nav", "body", "tr", "blockquote", "footer"):
             close(*(("list",) if (value == "li" and kind == "open") else ()))
+    if depth:  # a table without its end tag goes to the end of the page
+        blocks.append({"block_type": "table", "level": None, "text": None, "html": "".join(table) + "</table>" * depth})
     close()
     return blocks
 

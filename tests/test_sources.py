@@ -154,3 +154,18 @@ def test_prefix_sweep_agrees_with_trying_all(spark):
             best = max(fit)
             want[name] = (best[2], best[1])
     assert got == want and len(want) > 50
+
+
+def test_pages_without_end_tags_keep_their_text():
+    from chunkloom.functions.tables import _page_blocks
+
+    def found(page):
+        return [(b["block_type"], b["text"] or b["html"]) for b in _page_blocks(page)]
+
+    cell = "<table><tr><td>a</td></tr>"
+    assert found(f"<p>one{cell}<p>two<h2>three</h2>four") == [("paragraph", "one"), ("table", cell + "</table>"), ("paragraph", "two"), ("title", "three"), ("paragraph", "four")]
+    assert found("<table><tr><td>a<p>b") == [("table", "<table><tr><td>a<p>b</table>")]
+    assert found(f"{cell}</table>after") == [("table", cell + "</table>"), ("paragraph", "after")]
+    assert found("<html><head><title>t</title><style>p{}</style><body><p>kept") == [("paragraph", "kept")]
+    assert found("<head><title>t</title><p>kept</p><h1>x</h1>") == [("paragraph", "kept"), ("title", "x")]
+    assert found("<table><tr><td><table><tr><td>in</td></tr></table></td></tr></table>")[0][0] == "table"
