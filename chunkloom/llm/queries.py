@@ -154,11 +154,10 @@ c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY s) AS upto FROM p),
 e AS (SELECT a.doc_id, a.s, min(b.s) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.s >= a.s
       AND b.upto - (a.upto - a.w) >= {line_dedup.MIN_WORDS} GROUP BY ALL),
 b AS (SELECT doc_id, s, array_to_string(l[s : e], chr(10)) AS block FROM e JOIN d USING (doc_id)),
-f AS (SELECT block, min((doc_id, s)) AS f FROM b GROUP BY block),
-r AS (SELECT b.doc_id, b.s, f[1] AS f_doc, f[2] AS f_s FROM b JOIN f USING (block) WHERE (b.doc_id, b.s) <> f),
-n AS (SELECT r.doc_id, s, list_position(list_transform(range(0, least(len(x.l) - s, len(y.l) - f_s) + 2),
-             lambda i: coalesce(x.l[s + i] <> y.l[f_s + i], true)), true) - 1 AS n
-      FROM r JOIN d x ON r.doc_id = x.doc_id JOIN d y ON r.f_doc = y.doc_id),
+r AS (SELECT b.doc_id, b.s, f.doc_id AS f_doc, f.s AS f_s FROM b JOIN b f ON b.block = f.block AND (f.doc_id, f.s) < (b.doc_id, b.s)),
+n AS (SELECT r.doc_id, s, max(list_position(list_transform(range(0, least(len(x.l) - s, len(y.l) - f_s) + 2),
+             lambda i: coalesce(x.l[s + i] <> y.l[f_s + i], true)), true) - 1) AS n
+      FROM r JOIN d x ON r.doc_id = x.doc_id JOIN d y ON r.f_doc = y.doc_id GROUP BY r.doc_id, s),
 g AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS t FROM n),
 i AS (SELECT doc_id, t, t - row_number() OVER (PARTITION BY doc_id ORDER BY t) AS k FROM g),
 o AS (SELECT doc_id, k, min(t) - 1 AS a, max(t) AS z FROM i GROUP BY doc_id, k),

@@ -58,11 +58,11 @@ def plain_lines(data, min_words):
                     break
     gone = defaultdict(set)
     for places in blocks.values():
-        first, at = min(places)
-        for k, s in places:
-            n = 0
-            if (k, s) != (first, at):
-                while s + n < len(lines[k]) and at + n < len(lines[first]) and lines[k][s + n] == lines[first][at + n]:
+        places.sort()
+        for no, (k, s) in enumerate(places):
+            for other, at in places[:no]:
+                n = 0
+                while s + n < len(lines[k]) and at + n < len(lines[other]) and lines[k][s + n] == lines[other][at + n]:
                     n += 1
                 gone[k].update(range(s, s + n))
     return {k: [i for i in range(len(lines[k])) if i in gone[k]] for k in docs}
@@ -102,6 +102,27 @@ def test_line_dedup_random(spark):
         check_lines(spark.createDataFrame(data, "doc_id bigint, text string"), data, min_words)
 
 
+def test_line_dedup_by_any_earlier_copy(spark):
+    """Runs go as far as they agree with any earlier copy, be it not the first; lines without words count as lines."""
+    p, q = " ".join(f"p{i}" for i in range(60)), "\n".join(f"q{i} r{i}" for i in range(10))
+    data = [(1, p + "\nx"), (2, p + "\n" + q), (3, p + "\n" + q), (4, p + "\n" + q[:14] + "\nx"), (5, "a\n" + p + "\n\n\n\nb")]
+    data += [(6, p + "\n\n\nc"), (7, p + "\n\n\n"), (8, q), (None, "z\n" + p + "\n" + q + "\nz")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(5)
+    check_lines(docs, data, 50)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup(docs).collect()}
+    assert (got[1], got[2], got[3], got[6], got[8], got[None]) == ("", "0:1", "0:11", "0:3", "", "1:12")
+
+
+def test_line_dedup_random_tails(spark):
+    """Long passages, each followed by short tails that agree with different earlier copies, and repeated inside documents."""
+    rng = random.Random(11)
+    passages = [["w " * rng.randrange(4, 9) + f"p{i}.{j}" for j in range(4)] for i in range(3)]
+    tail = lambda: [rng.choice(["", "", "a", "b", "a b"]) for _ in range(rng.randrange(9))]
+    data = [(i, "\n".join(sum([tail() + rng.choice(passages) + tail() for _ in range(rng.randrange(1, 4))], []))) for i in range(60)]
+    for min_words in (12, 20):
+        check_lines(spark.createDataFrame(data, "doc_id bigint, text string"), data, min_words)
+
+
 def plain_sets(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
