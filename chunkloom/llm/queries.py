@@ -134,7 +134,8 @@ def _url_sql() -> str:
     case = lambda n: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[n]}'" for f in fits) + " END"
     bounded = lambda t: f"regexp_matches(u, '(^|[^\\p{{L}}]){t}($|[^\\p{{L}}])')"
     strict = " OR ".join(bounded(t) for t in spec.strict)
-    soft = " + ".join(f"{bounded(t)}::INT" for t in spec.soft)
+    soft = " + ".join(f"{bounded(t)}::INT" for t, _ in spec.soft)
+    weight = " + ".join(f"{w} * {bounded(t)}::INT" for t, w in spec.soft)
     lower = "translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS h,
@@ -142,7 +143,7 @@ WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]
                   CASE WHEN contains(url, '://') THEN lower(url) ELSE '' END AS u FROM pages),
 q AS (SELECT page_id, {lower} AS host, path, u FROM p)
 SELECT page_id, host, path, {case(1)} AS rule,
-       coalesce({case(2)}, CASE WHEN {strict} OR {soft} >= {spec.min_soft} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce({case(2)}, CASE WHEN {strict} OR ({soft} >= {spec.min_soft} AND {weight} >= {spec.min_weight}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM q"""
 
 

@@ -70,6 +70,8 @@ def test_url_filter(spark):
         None, "", "no scheme", "http://a.net/x", "http://example.net/en/1", "http://www.EXAMPLE.net/en", "https://example.com/de/1?x#y", "http://notexample.com/de/1",
         "http://x.org/fr/", "http://x.org/en/casino", "http://cheap-pills.example.org/en/1", "http://cheap.example.org/cheap", "http://net", "://b.net/", "http://casinos.example.org/",
         "http://spam.org?free", "http://user@a.net:80/x", "a://b://c.net/x", "http://a.org/x\ny",
+        "http://a.org/ads/farm", "http://a.org/ads-farm-win", "http://a.org/ads/ads/ads", "http://a.org/bets_cheap", "http://a.org/pills",
+        "http://a.org/" + "long/" * 200_000 + "spam?track", "http://a.org/" + "a/casino2x/" * 10 + "#adult1", "http://a.org/bets?ads", "http://a.org/bets?ads",
     ]
     got = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
     for r in got:
@@ -84,12 +86,22 @@ def test_url_filter(spark):
         assert r["rule"] == (best[1] + best[2] if best else None)
         low = url.lower() if "://" in url else ""
         hit = lambda t: re.search(rf"(?<![^\W\d_]){t}(?![^\W\d_])", low)
-        rejected = any(hit(t) for t in url_filter.STRICT_TERMS) or sum(bool(hit(t)) for t in url_filter.SOFT_TERMS) >= 2
+        rejected = any(hit(t) for t in url_filter.STRICT_TERMS) or (
+            sum(bool(hit(t)) for t, _ in url_filter.SOFT_TERMS) >= 2 and sum(w for t, w in url_filter.SOFT_TERMS if hit(t)) >= 3
+        )
         assert r["verdict"] == (best[0] if best else "block" if rejected else "allow")
     empty = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filter.url_filter(empty).collect() == []
 
 
+def test_url_filter_messy_rows(spark):
+    """Repeated rows and null ids give a row each; further columns of the names used inside are left alone."""
+    data = [(None, "http://a.org/casino", "t", "f"), (1, "http://a.org/win-free", None, ""), (1, "http://a.org/win-free", None, ""), (None, None, "", None)]
+    got = url_filter.url_filter(spark.createDataFrame(data, "page_id bigint, url string, terms string, fit string")).collect()
+    want = [(None, "block", 1, 0, 0), (1, "allow", 0, 2, 2), (1, "allow", 0, 2, 2), (None, "allow", 0, 0, 0)]
+    assert sorted(((r["page_id"], r["verdict"], r["n_strict"], r["n_soft"], r["soft_weight"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def plain_hits(text, items, size):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, found = words(text), set(), set()
