@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_part
-from .training import sampled
+from .training import stratified
 
 DIMENSIONS = 4096
 SAMPLE_ROWS = 6_000  # documents the centroids are fitted on, about; the driver holds one short vector of each
@@ -143,9 +143,9 @@ def language_report(docs: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row of ``docs``.
 
     A row is held out if crc32 of doc_id as text (null: empty) is 2 modulo 4. Centroids come from about ``bound`` other
-    rows with a language and a text. A null text or one without letters is ``und``; without rows to learn from all are.
+    rows with a language and a text, as many of each language as it has up to a common level, so rare ones are learned. A null text or one without letters is ``und``; without rows to learn from all are.
     """
     learn = docs.where((hash_part(FOLDS) != HELD) & F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", "text", "lang")
-    model = fit_centroids(sampled(learn, F.col("doc_id"), bound).select("text", "lang"))
+    model = fit_centroids(stratified(learn, "lang", [F.col("doc_id"), F.col("text")], bound).select("text", "lang"))
     rows = identify_languages(docs, model)
     return rows.select("doc_id", (hash_part(FOLDS) == HELD).alias("held_out"), "lang_pred", "score", "rejected")

@@ -16,6 +16,35 @@ def sampled(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key, F.lit(23)), F.lit(1_000_000)) < share)
 
 
+def fair_level(sizes: list[int], bound: int) -> float:
+    """The most rows a group may give so that groups of these sizes give ``bound`` in all; small groups give all."""
+    left, level = float(bound), 0.0
+    for done, n in enumerate(sorted(sizes)):
+        level = left / (len(sizes) - done)
+        if n > level:
+            return level
+        left -= n
+    return max([level, *map(float, sizes)])
+
+
+def stratified(rows: DataFrame, group: str, keys: list[Column], bound: int) -> DataFrame:
+    """About ``bound`` of the rows, from each value of ``group`` equally many as far as it has them.
+
+    Chosen by a hash of ``keys``, which must tell rows apart: rows of equal keys are taken together. With more than
+    ``bound`` groups the largest count.
+    """
+    found = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(bound + 1).collect()
+    sizes = {r[group]: r["count"] for r in found[:bound]}
+    level = fair_level(list(sizes.values()), bound)
+    parts = 1_000_000_000
+    # Groups the map does not list give all their rows, or none where there are too many groups.
+    others = parts if len(found) <= bound else 0
+    shares = {g: parts if n <= level else int(parts * level / n) for g, n in sizes.items()}
+    listed = [F.lit(x) for g, n in shares.items() if n != others for x in (g, n)]
+    share = F.coalesce(F.create_map(*listed)[F.col(group)], F.lit(others)) if listed else F.lit(others)
+    return rows.where(F.pmod(F.xxhash64(*keys, F.lit(23)), F.lit(parts)) < share)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int = SAMPLE_ROWS) -> DataFrame:
     """(text, label) of at most about ``bound`` documents with a label that ``learn`` (over doc_id) admits.
 

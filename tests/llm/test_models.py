@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from chunkloom.llm import language, quality, toxicity
+from chunkloom.llm import language, quality, toxicity, training
 from chunkloom.llm.common import table
 
 from .conftest import rows
@@ -46,6 +47,26 @@ def test_held_out_languages(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) >= 0.98
 
 
+def test_rare_language_is_learned(spark):
+    """A sample of 60 of 3,000 rows has the twelve rows of a rare language, and rows without id are drawn apart."""
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "kvik jord fjell over strand", "cc": "zuxo qexi wozu quxe zaqo"}
+    rng = random.Random(2)
+    langs = ["aa"] * 2400 + ["bb"] * 588 + ["cc"] * 12
+    data = [(None if lang == "aa" else i, " ".join(rng.choices(words[lang].split(), k=12)) + f" {i}", lang) for i, lang in enumerate(langs)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    sample = training.stratified(docs, "lang", [F.col("doc_id"), F.col("text")], 60).groupBy("lang").count().collect()
+    found = {r["lang"]: r["count"] for r in sample}
+    assert found["cc"] == 12 and 8 <= found["aa"] <= 45 and 8 <= found["bb"] <= 45
+    assert training.stratified(docs, "text", [F.col("doc_id"), F.col("text")], 60).count() == 60  # more groups than rows to draw
+    got = language.language_report(docs, bound=60).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in got} == {"aa": 2400, "bb": 588, "cc": 12}
+
+
+def test_fair_level():
+    assert training.fair_level([5, 100, 100], 55) == 25 and training.fair_level([3, 4], 10) >= 4 and training.fair_level([], 10) == 0
+    assert training.fair_level([10, 10, 10], 15) == 5
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
