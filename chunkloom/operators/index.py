@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,17 +124,19 @@ def _small(names: DataFrame) -> DataFrame:
 def delete_documents(index: DataFrame, names: DataFrame, collection: str | None = None) -> DataFrame:
     """The index without points whose document id, title or any breadcrumb is one of the names (``name``).
 
-    With ``collection`` only points of that collection go.
+    With ``collection`` only points of that collection go. Points are told apart by collection and id, so a point of the
+    same id in another collection stays unless a name hits it too.
     """
     if collection is not None:
         inside = F.coalesce(F.col("collection") == collection, F.lit(False))
         return index.where(~inside).unionByName(delete_documents(index.where(inside), names))
     n = _small(names.select("name").distinct())
     known = F.array_distinct(F.concat(F.array("doc_id", "doc_title"), F.coalesce("breadcrumbs", F.array().cast("array<string>"))))
-    doomed = (
-        index.select("point_id", F.explode(known).alias("name")).join(n, "name", "left_semi").select("point_id").distinct()
-    )
-    return index.join(doomed, "point_id", "left_anti")
+    keys = [c for c in POINT if c in index.columns]
+    gone = index.select(*[F.col(c).alias(f"gone_{c}") for c in keys], F.explode(known).alias("name")).join(n, "name", "left_semi")
+    doomed = gone.drop("name").distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"gone_{c}")) for c in keys]
+    return index.join(doomed, reduce(Column.__and__, same), "left_anti")
 
 
 def without_documents(table: DataFrame, docs: DataFrame) -> DataFrame:

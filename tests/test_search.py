@@ -131,6 +131,14 @@ def test_collections_are_apart(spark):
     assert [r.collection for r in ix.delete_documents(both, gone, "a").collect()] == ["b"]
 
 
+def test_delete_leaves_points_of_one_id_elsewhere(spark):
+    """One point id in three collections (one without name): only points that a name hits go, in all collections."""
+    data = [("a", "1", "d1"), ("b", "1", "d2"), (None, "1", "d1"), (None, "2", "d2"), ("b", "3", "d1"), ("a", None, "d1"), ("b", None, "d2")]
+    index = spark.createDataFrame([(*r, "", None) for r in data], "collection string, point_id string, doc_id string, doc_title string, breadcrumbs array<string>")
+    left = ix.delete_documents(index, spark.createDataFrame([("d1",)], "name string")).collect()
+    assert sorted(((r.collection, r.point_id, r.doc_id) for r in left), key=str) == sorted((r for r in data if r[2] == "d2"), key=str)
+
+
 def test_idf_of_the_whole_collection(spark):
     points = spark.createDataFrame([(f"c{i}", "red blue" if i < 3 else "red", "x" if i < 2 else "y") for i in range(9)], "chunk_id string, text string, part string")
     points = points.withColumn("sparse", document_vector(words("text"))).withColumn("dense", F.lit(None).cast("array<float>"))
