@@ -3,29 +3,24 @@
 import math
 import re
 
+from chunkloom.functions.patterns import CLAUSE_BREAK, HYPHEN_BREAK, SENTENCE_BREAK, SOFT_BREAK
+
 
 def tokens(text):
     return max(len(text) // 2, math.floor(len(text.split()) * 2.2)) if text else 0
 
 
 def units_of(text, legal, budget):
-    text = re.sub(r"(\w)-\s*[\r\n]+\s*(\w+)", r"\1\2", text.strip())
+    text = re.sub(HYPHEN_BREAK.removeprefix("(?U)"), r"\1\2", text.strip())
     parts = [text]
-    clause = re.compile(
-        r"(?=[①-⑳])|(?<=\n)\s*(?=\d+\.\s|[가-하]\.\s)|(?<=[.:]\s)\s*(?=\d+\.\s|[가-하]\.\s)"
-    )
-    for pattern in ([clause] if legal else []) + [
-        re.compile(r"\n"),
-        re.compile(r"(?<=[다음함임됨]\.)\s+"),
-        re.compile(r"(?<=[.!?])\s+(?=[A-Z가-힣0-9])"),
-    ]:
-        parts = [s.strip() for p in parts for s in pattern.split(p) if s.strip()]
+    for pattern in ([CLAUSE_BREAK] if legal else []) + [SENTENCE_BREAK]:
+        parts = [s.strip() for p in parts for s in re.split(pattern, p) if s.strip()]
     return [u for p in parts for u in (long_units(p, budget) if tokens(p) > budget else [p])]
 
 
 def long_units(sentence, budget):
     flat = []
-    for piece in (p.strip() for p in re.split(r"(?<=[;,])\s+", sentence) if p.strip()):
+    for piece in (p.strip() for p in re.split(SOFT_BREAK, sentence) if p.strip()):
         if tokens(piece) > budget:
             flat += [(w, i == 0) for i, w in enumerate(piece.split())]
         else:
