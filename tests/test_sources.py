@@ -171,6 +171,15 @@ def test_pages_without_end_tags_keep_their_text():
     assert found("<table><tr><td><table><tr><td>in</td></tr></table></td></tr></table>")[0][0] == "table"
 
 
+def test_heading_tags_declare_levels(spark):
+    from chunkloom.sources.blocks import blocks_from_html
+
+    page = "<h1>20.118.157.107 Betz</h1><p>x</p><h2>1. Part</h2><p>y</p><h3>I. Mark</h3><p>z</p>"
+    pages = spark.createDataFrame([("d", page)], "doc_id string, html string")
+    found = chunk_blocks(blocks_from_html(pages, "doc_id", "html")).sections.orderBy("section_pos").collect()
+    assert [(s.title, s.level) for s in found] == [("d", 0), ("20.118.157.107 Betz", 1), ("1. Part", 2)]
+
+
 def test_only_references(spark):
     from chunkloom.functions.tables import only_references
     from chunkloom.sources.blocks import blocks_from_html
