@@ -191,3 +191,17 @@ def test_long_and_short_documents_together(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
     stats_of = lambda **k: sorted(map(str, chunk_stats(blocks, 16, 40, **k).collect()))
     assert stats_of(range_rows=20) == stats_of(long_docs=False)
+
+
+def test_ingest_of_a_table_in_one_file_or_a_folder(spark, tmp_path):
+    from chunkloom.plans.search_queries import QUERIES
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(1, "One.", "en", "s", 4), (2, "Two.", "en", "s", 4)], schema).repartition(2).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    part = next((tmp_path / "folder/documents.parquet").glob("part-*.parquet"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file/documents.parquet").write_bytes(part.read_bytes())
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    found = lambda where: QUERIES["stream_ingest"](spark, str(tmp_path / where)).count()
+    assert (found("folder"), found("file"), found("none")) == (2, 1, 0)
