@@ -109,3 +109,43 @@ def test_page_blocks(spark):
     df = spark.createDataFrame([(html,)], "h string")
     got = [(b.block_type, b.level, b.text) for b in df.select(page_blocks("h").alias("b")).first().b]
     assert got == [("title", 2, "Head"), ("paragraph", None, "one\ntwo"), ("paragraph", None, "three"), ("list", None, "item"), ("table", None, None)]
+
+
+def test_plain_tables_are_read_alike(spark):
+    from chunkloom.functions.tables import PLAIN_TABLE, _cells, _read_cells
+
+    plain = ["<table></table>", "<table><tr></tr><tr><th> a\n b</th><td></td></tr></table>", "<table><tr><td>1 > 0</td></tr></table>"]
+    other = ["<table><tr><td>a &amp; b</td></tr></table>", "<table><tr><td>a<br>b</td></tr></table>", "<table><tr><td>open</tr></table>", "<table><tr><td>x</td></tr>", ""]
+    assert [bool(PLAIN_TABLE.fullmatch(h)) for h in plain + other] == [True] * 3 + [False] * 5
+    assert [_cells(h) for h in plain + other] == [_read_cells(h) for h in plain + other]
+
+
+def test_worker_output_comes_in_slices(spark):
+    import pandas as pd
+
+    from chunkloom.functions.tables import SLICE_ROWS, in_slices
+
+    held = [len(s) for s in in_slices(iter([pd.Series(range(1000)), pd.Series(dtype=object)]), str)]
+    assert sum(held) == 1000 and max(held) == SLICE_ROWS
+    pages = spark.range(1000).select(F.concat(F.lit("<h1>"), "id", F.lit("</h1>")).alias("h"), "id").coalesce(1)
+    assert pages.where(page_blocks("h")[0]["text"] != F.col("id").cast("string")).count() == 0
+
+
+def test_summaries_at_the_budget(spark):
+    rows = [("<table><tr><th>h</th></tr>" + "".join(f"<tr><td>{'x y ' * n}{i}</td></tr>" for i in range(6)) + "</table>",) for n in (1, 5, 12, 13, 14, 30, 60)]
+    df = spark.createDataFrame(rows, "html string").withColumn("cells", table_rows("html"))
+    got = [r.s for r in df.select(table_search_text("html", "cells", F.lit("c"), F.lit("f"), 200).alias("s")).collect()]
+
+    def plain(html):
+        from chunkloom.functions.tables import _read_cells
+        from tests.plain import tokens
+
+        head, *data = [" | ".join(r) for r in _read_cells(html)]
+        lines, tail = ["[표: c]", "컬럼: " + head, "주요 데이터:"], ["(주: f)"]
+        for row in data:
+            if tokens("\n".join([*lines, "- " + row, *tail])) > 200:
+                break
+            lines.append("- " + row)
+        return "\n".join(lines + tail)
+
+    assert got == [plain(h) for (h,) in rows]
