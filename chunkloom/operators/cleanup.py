@@ -16,12 +16,16 @@ MANIFEST = "doc_id string, collection string, chunks_count bigint, indexed_at ti
 
 
 def document_store(spark: SparkSession, path: str) -> VersionedTables:
-    """Chunk tables, points and manifest by document; points go by their document's id and title and any breadcrumb."""
+    """Chunk tables, points and manifest by document; points go by their document's id and title and any breadcrumb.
+
+    Points lie in the order of their chunks, so that those of one parent are neighbours and its text, which each of them
+    carries, takes space once.
+    """
     return VersionedTables(
         spark,
         path,
         {"sections": SECTIONS, "parents": PARENTS, "children": CHILDREN, "points": INDEX, "manifest": MANIFEST},
-        {"sections": "section_pos", "parents": "parent_pos", "children": "child_pos", "points": "point_id", "manifest": "collection"},
+        {"sections": "section_pos", "parents": "parent_pos", "children": "child_pos", "points": "chunk_id", "manifest": "collection"},
         names={"points": ("doc_id", "doc_title", "breadcrumbs")},
     )
 
