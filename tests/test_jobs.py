@@ -205,3 +205,11 @@ def test_ingest_of_a_table_in_one_file_or_a_folder(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
     found = lambda where: QUERIES["stream_ingest"](spark, str(tmp_path / where)).count()
     assert (found("folder"), found("file"), found("none")) == (2, 1, 0)
+
+
+def test_lengths_find_long_documents(spark):
+    rows = [("long", "Line of it.\n" * 60), ("short", "One.\nTwo.")]
+    blocks = blocks_from_text(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text")
+    lengths = spark.createDataFrame([("long", 61), ("short", 2)], "doc_id string, block_no bigint")
+    a, b = chunk_blocks(blocks, 16, 40, range_rows=20, lengths=lengths).children, chunk_blocks(blocks, 16, 40, long_docs=False).children
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
