@@ -206,3 +206,10 @@ def test_repeated_rows_leave_one(spark):
     kept = jaccard_join.drop_near_copies(spark.createDataFrame(data, "doc_id bigint, text string, source string"))
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert got == sorted([(None, text(1)), (7, text(2)), (None, None), (None, ""), (9, " "), (9, " ")], key=str)
+
+
+def test_run_starts_are_no_plan_with_a_join_per_round(messy):
+    ranks = line_dedup.first_ranks(line_dedup.positions(line_dedup.line_table(messy), 50))
+    starts = line_dedup.run_starts(ranks)
+    assert starts.count() > 0
+    assert "Join" not in starts._jdf.queryExecution().optimizedPlan().toString()
