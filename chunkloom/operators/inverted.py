@@ -20,6 +20,7 @@ from .search import BROADCAST_ROWS, SCORE_DIGITS, at_most, top_per_query
 BLOCK_ROWS = 1024
 FIRST_BLOCKS = 2  # blocks per query that are scored before any is left out
 GROUP_TERMS = 100_000  # query terms scored against a block in one task, about
+SCORE_CELLS = 2**17  # scores of queries and places that are summed at once
 
 
 def build_inverted(index: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> None:
@@ -64,20 +65,39 @@ def block_bounds(weights: DataFrame, path: str) -> DataFrame:
 
 def _score_block(limit: int, id_type: str):
     def score(key: tuple, lists: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
-        by_token = {int(i): (np.asarray(p), np.asarray(w, dtype=np.float64)) for i, p, w in zip(lists["idx"], lists["places"], lists["weights"])}
-        size = max((int(p.max()) for p, _ in by_token.values()), default=-1) + 1
+        code, queries = pd.factorize(terms["query_id"])
+        by_idx = lists.sort_values("idx")
+        idx, asked = by_idx["idx"].to_numpy(np.int64), terms["idx"].to_numpy(np.int64)
+        at = np.searchsorted(idx, asked)
+        held = np.flatnonzero((at < len(idx)) & (idx[np.minimum(at, len(idx) - 1)] == asked) & (code >= 0)) if len(idx) else np.empty(0, dtype=np.int64)
+        if not len(held):
+            return pd.DataFrame({"query_id": [], "block": [], "place": [], "score": []}).astype({"block": "int64", "place": "int32", "score": "float64"})
+        held = held[np.argsort(code[held], kind="stable")]
+        code, at, weight = code[held], at[held], terms["weight"].to_numpy(np.float64)[held]
+        counts = by_idx["places"].map(len).to_numpy(np.int64)
+        firsts = np.cumsum(counts) - counts
+        places = np.concatenate(by_idx["places"].to_numpy())
+        values = np.concatenate(by_idx["weights"].to_numpy()).astype(np.float64)
+        size = int(places.max()) + 1
         out = []
-        for query, own in terms.groupby("query_id", sort=False):
-            held = [(by_token[i], w) for i, w in zip(own["idx"], own["weight"]) if i in by_token]
-            if not held:
-                continue
-            places = np.concatenate([p for (p, _), _ in held])
-            sums = np.bincount(places, np.concatenate([v * w for (_, v), w in held]), size)
-            found = np.unique(places)
-            scores = np.round(sums[found], SCORE_DIGITS)
-            best = np.lexsort((found, -scores))[:limit]  # places follow the order of ids
-            out.append(pd.DataFrame({"query_id": query, "block": key[0], "place": found[best].astype(np.int32), "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "block": [], "place": [], "score": []}).astype({"block": "int64", "place": "int32", "score": "float64"})
+        # As many queries at once as there is room for a number per query and place.
+        step = max(1, SCORE_CELLS // size)
+        edges = np.searchsorted(code, np.arange(0, code[-1] + 1 + step, step))
+        for part, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
+            n = counts[at[s:e]]
+            own = np.repeat(np.arange(s, e), n)
+            of = np.arange(len(own)) + np.repeat(firsts[at[s:e]] - (np.cumsum(n) - n), n)
+            cell = (code[own] - part * step) * size + places[of]
+            sums = np.bincount(cell, values[of] * weight[own], step * size).reshape(step, size)
+            seen = np.bincount(cell, minlength=step * size).reshape(step, size) > 0
+            scores = np.where(seen, np.round(sums, SCORE_DIGITS), -np.inf)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :limit]  # places follow the order of ids
+            row = np.repeat(np.arange(step), best.shape[1])
+            best = best.ravel()
+            real = seen[row, best]
+            row, best = row[real], best[real]
+            out.append(pd.DataFrame({"query_id": queries[row + part * step], "block": key[0], "place": best.astype(np.int32), "score": scores[row, best]}))
+        return pd.concat(out)
 
     return score, f"query_id {id_type}, block bigint, place int, score double"
 

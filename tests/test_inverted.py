@@ -66,3 +66,29 @@ def test_empty_index(spark, tmp_path):
     index, queries = tables(spark, 5, 3, 20, 3)
     inverted.build_inverted(index.where("false"), str(tmp_path / "index"))
     assert inverted.stored_sparse_top(queries, str(tmp_path / "index"), 4).collect() == []
+
+
+def test_a_block_scores_many_queries_at_once_as_one_by_one():
+    import numpy as np
+    import pandas as pd
+
+    from chunkloom.operators import inverted
+
+    rng = np.random.default_rng(3)
+    places = [np.sort(rng.permutation(64)[: rng.integers(1, 65)]).astype(np.int32) for _ in range(40)]
+    lists = pd.DataFrame({"idx": rng.permutation(40), "block": 7, "places": places, "weights": [np.round(rng.random(len(p)), 4) for p in places]})
+    asked = [(q, 7, int(i), 0.5 + i) for q in range(5000) for i in rng.permutation(50)[:3]]
+    terms = pd.DataFrame(asked, columns=["query_id", "block", "idx", "weight"])
+    score, _ = inverted._score_block(5, "bigint")
+    found = score((7, 0), lists, terms)
+    slices = -(-terms["query_id"].nunique() // (inverted.SCORE_CELLS // 64))
+    assert slices > 1  # the queries need several slices
+    held = dict(zip(lists["idx"], zip(lists["places"], lists["weights"])))
+    got = {q: list(zip(g["score"], g["place"])) for q, g in found.groupby("query_id", sort=False)}
+    for q, own in terms.groupby("query_id"):
+        sums: dict[int, float] = {}
+        for i, w in zip(own["idx"], own["weight"]):
+            for p, v in zip(*held.get(i, ((), ()))):
+                sums[int(p)] = sums.get(int(p), 0.0) + v * w
+        best = sorted(((-round(s, 9), p) for p, s in sums.items()))[:5]
+        assert [(round(s, 9), p) for s, p in got.get(q, [])] == [(-s, p) for s, p in best]
