@@ -1,6 +1,12 @@
 """Steps that the time of large runs hangs on: how often tables are read and joined, and what a batch works out once."""
 
-from chunkloom.operators import edits
+import math
+from collections import Counter
+from hashlib import sha256
+
+import pyarrow as pa
+
+from chunkloom.operators import edits, encode
 from chunkloom.operators.chunking import Chunked
 from chunkloom.schemas import CHILDREN, PARENTS, SECTIONS
 
@@ -35,3 +41,27 @@ def test_split_reads_the_chunks_few_times(spark, tmp_path):
         ("d_c0001", 1, "one", True), ("d_c0004", 2, "two", True), ("d_c0002", 3, "thr", True), ("d_c0005", 4, "e four", True), ("d_c0003", 5, "five", False),
     ]
     assert out.parents.first().text == "\n\n".join(r[2] for r in rows)
+
+
+def test_vectors_hash_a_token_of_a_batch_once(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(encode.hashlib, "sha256", lambda t: hashed.append(t) or sha256(t))
+    lists = [["b", "a", "b"], None, [], ["é", "a", None]]
+    got = encode._count_vectors(pa.array(lists, pa.list_(pa.string()))).to_pylist()
+    assert sorted(hashed) == sorted([b"a", b"b", "é".encode()])
+    number = lambda t: int(sha256(t.encode()).hexdigest()[:8], 16)
+    for tokens, vector in zip(lists, got):
+        want = sorted((number(t), round(1 + math.log(n), 4)) for t, n in Counter(t for t in tokens or [] if t).items())
+        assert list(zip(vector["indices"], vector["values"])) == want
+
+
+def test_vectors_of_equal_indices_and_slices(spark, monkeypatch):
+    """Of two tokens with one index the larger weight stays; batches cut in slices give the same rows."""
+    real = encode.hashlib.sha256
+    monkeypatch.setattr(encode.hashlib, "sha256", lambda t: real(b"same"))
+    assert encode._count_vectors(pa.array([["a", "b", "b"]])).to_pylist()[0]["values"] == [1.6931]
+    monkeypatch.setattr(encode.hashlib, "sha256", real)
+    rows = spark.range(0, 200, 1, 1).selectExpr("id", "CAST(transform(sequence(0, id % 7), x -> x * id % 5) AS array<string>) AS t")
+    whole = rows.select("id", encode.document_vector("t").alias("v")).collect()
+    monkeypatch.setattr(encode, "TOKENS_AT_ONCE", 10)
+    assert rows.select("id", encode.document_vector("t").alias("v")).collect() == whole
