@@ -188,3 +188,14 @@ def test_only_references(spark):
     text = lambda html: blocks_from_html(pages, "doc_id", html).first().text
     assert text(only_references("html", "amp")) == "a & &quot;b&quot; &lt; c&amp"
     assert text("html") == 'a & "b" &lt; c&'
+
+
+def test_pages_are_parsed_once(spark):
+    from chunkloom.operators.chunking import chunk_blocks
+    from chunkloom.sources.blocks import blocks_from_html
+
+    pages = spark.createDataFrame([("p", "<h1>A</h1><p>text</p><table><tr><td>x</td></tr></table>")], "doc_id string, html string")
+    c = chunk_blocks(blocks_from_html(pages, "doc_id", "html"))
+    for t in (c.sections, c.parents, c.children):
+        assert "page_blocks" not in t._jdf.queryExecution().toString()
+    assert c.children.count() == 2
