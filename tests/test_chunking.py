@@ -249,3 +249,21 @@ def test_units_match_direct_version(spark):
     for r in got:
         assert r.g == plain.units_of(r.t, False, 30)
         assert r.l == plain.units_of(r.t, True, 30)
+
+
+def test_children_in_context_equal_a_join(spark):
+    from chunkloom.operators.chunking import children_in_context
+    from chunkloom.operators.index import attach_parent_text
+
+    docs = {
+        "a": ("general", [title(1, "One"), *[para(1, f"Some words of line {k}.") for k in range(60)], table(2, html_table(3))]),
+        "b": ("general", [para(1, "short")]),
+        "c": ("general", [table(1, html_table(90)), para(2, "end")]),
+    }
+    blocks = rows_to_blocks(spark, docs).repartition(3)
+    chunks = chunk_blocks(blocks, 40, 120, long_docs=False)
+    want = attach_parent_text(chunks.children, chunks.parents)
+    got = children_in_context(blocks, 40, 120, long_docs=False)
+    assert got.columns == [*chunks.children.columns, "parent_text"]
+    key = lambda df: sorted((r["chunk_id"], r["text"], r["parent_chunk_id"], r["parent_text"]) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) > 10
