@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import json
@@ -171,6 +173,30 @@ def test_pages_without_end_tags_keep_their_text():
     assert found("<table><tr><td><table><tr><td>in</td></tr></table></td></tr></table>")[0][0] == "table"
 
 
+def test_malformed_pages_keep_their_text(monkeypatch):
+    from chunkloom.functions import tables
+
+    def found(page):
+        return [b["text"] for b in tables._page_blocks(page)]
+
+    for mark in ("<![unknown[x]>", "<![ [x]>", "<![CDATA[ open>", "<!x>", "<![if IE]>"):
+        assert found(f"<h1>one</h1>{mark}<p>two</p>") == ["one", "two"], mark
+    assert found("<p>one</p>two & three AT&T") == ["one", "two & three AT&T"]
+    assert found("<p>one</p>2 &lt") == ["one", "2 <"]
+    assert found("<p>one</p>1 <") == ["one", "1 <"]
+    assert found("<p>one</p><!-- open > comment") == ["one"]
+    zeros, nines = "0" * 5000, "9" * 5000
+    assert found(f"<p>one &#{zeros}65; &#{nines}; &#{zeros};</p><p>two</p>") == ["one A \ufffd \ufffd", "two"]
+    assert tables._cells("<table><![x y]><tr><td>&amp;</td></tr></table>") == [["&"]]
+
+    def fails(self, data):
+        raise ValueError("not read")
+
+    monkeypatch.setattr(tables._Events, "feed", fails)
+    with pytest.raises(ValueError):  # a failure is no empty page
+        found("<p>one</p>")
+
+
 def test_heading_tags_declare_levels(spark):
     from chunkloom.sources.blocks import blocks_from_html
 
