@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from chunkloom.llm import exact_dedup, jaccard_join, line_dedup
 
 from .conftest import rows
@@ -213,3 +215,27 @@ def test_run_starts_are_no_plan_with_a_join_per_round(messy):
     starts = line_dedup.run_starts(ranks)
     assert starts.count() > 0
     assert "Join" not in starts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_rows_pass_for_many_keys(spark):
+    from chunkloom.llm.common import maybe_among
+
+    keys = spark.range(2_000_000).select((F.col("id") * 2).alias("k"))
+    rows = spark.range(40_000).select(F.col("id").alias("k"), F.lit("x").alias("word"), F.lit(1).alias("bucket"))
+    found = maybe_among(rows, keys, "k")
+    assert found.columns == rows.columns
+    assert found.where("k % 2 = 0").count() == 20_000 and found.where("k % 2 = 1").count() < 2_000
+
+
+def test_prefixes_leave_the_disk(spark):
+    import glob
+
+    from chunkloom.session import checkpoint_dir
+
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(texts + [(99, texts[3][1] + " end")], "doc_id bigint, text string")
+    assert jaccard_join.jaccard_report(docs).where("component_id <> doc_id").count() == 1
+    folders = glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/prefixes-*")
+    assert folders and all(spark.read.parquet(f).isEmpty() for f in folders)
+    lists = lambda n: spark.range(n).select(F.sequence(F.lit(1), F.lit(2**20)).alias("tokens"))
+    assert [jaccard_join.filter_bits(lists(n)) for n in (1, 40, 600)] == [2**24, 2**25, 2**28]
