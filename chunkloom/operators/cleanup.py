@@ -19,7 +19,7 @@ def document_store(spark: SparkSession, path: str) -> VersionedTables:
     """Chunk tables, points and manifest by document; points go by their document's id and title and any breadcrumb.
 
     Points lie in the order of their chunks, so that those of one parent are neighbours and its text, which each of them
-    carries, takes space once.
+    carries, takes space once. Rows are not dealt out by bucket, as a shuffle of points takes more disk than the store.
     """
     return VersionedTables(
         spark,
@@ -27,6 +27,7 @@ def document_store(spark: SparkSession, path: str) -> VersionedTables:
         {"sections": SECTIONS, "parents": PARENTS, "children": CHILDREN, "points": INDEX, "manifest": MANIFEST},
         {"sections": "section_pos", "parents": "parent_pos", "children": "child_pos", "points": "chunk_id", "manifest": "collection"},
         names={"points": ("doc_id", "doc_title", "breadcrumbs")},
+        deal=False,
     )
 
 
